@@ -28,9 +28,15 @@ def coverage_label(
     value: Column, dtype: T.DataType, labels: dict[int, str] = COVERAGE_LABELS
 ) -> Column:
     """Label of an integer-valued category number; other values keep their text; missing -> ``Missing``."""
-    dictionary = F.create_map(*chain.from_iterable((F.lit(float(k)), F.lit(v)) for k, v in labels.items()))
-    number = to_number(value, dtype, allow_infinite=False)
-    known = F.when(is_integral(number), F.try_element_at(dictionary, number))
+    if isinstance(dtype, T.IntegralType):
+        entries = ((F.lit(k), F.lit(v)) for k, v in labels.items())
+        known = F.try_element_at(F.create_map(*chain.from_iterable(entries)), value.try_cast("int"))
+    else:
+        number = to_number(value, dtype, allow_infinite=False)
+        entries = ((F.lit(float(k)), F.lit(v)) for k, v in labels.items())
+        known = F.when(
+            is_integral(number), F.try_element_at(F.create_map(*chain.from_iterable(entries)), number)
+        )
     return F.coalesce(known, value.cast("string"), F.lit(MISSING))
 
 
