@@ -87,15 +87,13 @@ def least_of(values: Sequence[Column]) -> Column:
     return F.least(*values) if len(values) > 1 else values[0]
 
 
-def exact_sum(value: Column, decimals: int | None) -> Column:
-    """Sum as double. With ``decimals`` the values are known to be fixed-point money, and adding them as
-    decimals makes the result independent of how rows were spread over tasks."""
-    if decimals is None:
-        return F.sum(value)
-    return F.sum(value.cast(T.DecimalType(20, decimals))).cast("double")
+def fixed_sum(value: Column, decimals: int | None) -> Column:
+    """Sum of a column. With ``decimals`` the values are known to be fixed-point money and are added as
+    decimals, which makes the result independent of how rows were spread over tasks."""
+    return F.sum(value) if decimals is None else F.sum(value.cast(T.DecimalType(20, decimals)))
 
 
 def mean_of(value: Column, decimals: int | None = None) -> Column:
     if decimals is None:
         return F.avg(value)
-    return exact_sum(value, decimals) / F.when(F.count(value) > 0, F.count(value))
+    return fixed_sum(value, decimals).cast("double") / F.when(F.count(value) > 0, F.count(value))

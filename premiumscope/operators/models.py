@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from premiumscope.functions.labels import text_or_missing
-from premiumscope.functions.numeric import col, exact_sum, total_of
+from premiumscope.functions.numeric import col, fixed_sum, total_of
 from premiumscope.operators.metrics import absolute_percentage_error, group_means
 from premiumscope.operators.scale import attach, attach_rows, bounded_table, materialise
 from premiumscope.spec import APE, PREDICTION, SPLIT, encoding_columns, feature_columns, identity_first
@@ -117,18 +117,18 @@ def leave_fold_out_means(
     keys = {g: f"_key_{i}" for i, g in enumerate(groups)}
     labelled = df.withColumns({k: text_or_missing(col(g)) for g, k in keys.items()})
     sums = labelled.groupBy(*keys.values(), fold).agg(
-        F.count(F.lit(1)).alias("_n"), *[exact_sum(col(c), decimals).alias(f"_s_{c}") for c in components]
+        F.count(F.lit(1)).alias("_n"), *[fixed_sum(col(c), decimals).alias(f"_s_{c}") for c in components]
     )
     whole = sums.groupBy(*keys.values()).agg(
         F.sum("_n").alias("_n_all"),
-        *[exact_sum(F.col(f"_s_{c}"), decimals).alias(f"_all_{c}") for c in components],
+        *[F.sum(F.col(f"_s_{c}")).alias(f"_all_{c}") for c in components],
     )
     rest = F.col("_n_all") - F.col("_n")
     means = sums.join(whole, list(keys.values())).select(
         *keys.values(),
         fold,
         *[
-            ((F.col(f"_all_{c}") - F.col(f"_s_{c}")) / F.when(rest > 0, rest)).alias(outputs[c])
+            ((F.col(f"_all_{c}") - F.col(f"_s_{c}")).cast("double") / F.when(rest > 0, rest)).alias(outputs[c])
             for c in components
         ],
     )

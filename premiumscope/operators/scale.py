@@ -36,9 +36,9 @@ def bounded_table(
     return table if table.num_rows <= max_rows and table.nbytes <= max_bytes else None
 
 
-def local_table(spark: SparkSession, rows: list[dict], schema: T.StructType) -> DataFrame:
-    """A driver-side result (a few scalars per row) as a DataFrame."""
-    return spark.createDataFrame([tuple(row[f.name] for f in schema.fields) for row in rows], schema)
+def local_frame(spark: SparkSession, columns: dict[str, list], schema: pa.Schema) -> DataFrame:
+    """Driver-side values (one list per column) as a local relation, whose size the optimizer knows."""
+    return spark.createDataFrame(pa.table(columns, schema=schema))
 
 
 def attach(
@@ -119,14 +119,16 @@ def running_total(
         .withColumn("_range", F.shiftright(F.monotonically_increasing_id(), 33))
     )
     totals = ranged.groupBy("_range").agg(F.sum("_weight").alias("_total")).collect()
-    offsets, reached = [], 0
-    for row in sorted(totals, key=lambda r: r["_range"]):
-        offsets.append((row["_range"], reached))
-        reached += row["_total"]
-    schema = T.StructType(
-        [T.StructField("_range", T.LongType()), T.StructField("_offset", ranged.schema["_weight"].dataType)]
+    ranges = sorted(totals, key=lambda r: r["_range"])
+    offsets = [0]
+    for row in ranges:
+        offsets.append(offsets[-1] + row["_total"])
+    amount = pa.float64() if isinstance(ranged.schema["_weight"].dataType, T.FractionalType) else pa.int64()
+    small = local_frame(
+        df.sparkSession,
+        {"_range": [row["_range"] for row in ranges], "_offset": offsets[:-1]},
+        pa.schema([("_range", pa.int64()), ("_offset", amount)]),
     )
-    small = df.sparkSession.createDataFrame(offsets, schema)
     inside = Window.partitionBy("_range").orderBy(*[col(name) for name in order_by])
     return (
         ranged.join(F.broadcast(small), "_range")
