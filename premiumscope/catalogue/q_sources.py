@@ -117,7 +117,7 @@ def _test_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("S7_metrics_log", sql(f"SELECT target, {METRIC_COLUMNS}, 'r1' AS run_id FROM metric_rows GROUP BY target", METRIC_ROWS))
 def metrics_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = writers.write_metrics(_test_metrics(spark, sf_dir), _path(spark, "metrics"), "r1")
-    return writers.read_metrics(spark, path)
+    return readers.read_metrics(spark, path)
 
 
 @query("A5_component_metrics", sql(f"SELECT target, {METRIC_COLUMNS} FROM metric_rows GROUP BY target", METRIC_ROWS))

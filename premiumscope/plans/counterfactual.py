@@ -19,7 +19,7 @@ from premiumscope.spec import FINAL_TARGET_LABEL, IDENTITY_COLUMN, scenario_targ
 
 def load_scenario(spark: SparkSession, path: str) -> dict[str, Any]:
     """A scenario file from any Spark-readable path."""
-    text = spark.read.option("wholetext", True).text(path).first()["value"]
+    text = spark.read.text(path, wholetext=True).first()["value"]
     return check_scenario(json.loads(text))
 
 

@@ -23,3 +23,8 @@ def read_raw_portfolio(spark: SparkSession, path: str, separator: str = ",") ->
     if path.rstrip("/").endswith(".parquet"):
         return read_table(spark, path)
     return spark.read.option("header", True).option("sep", separator).csv(path)
+
+
+def read_metrics(spark: SparkSession, path: str, file_format: str = "json") -> DataFrame:
+    """Metrics of all runs below ``path``, tagged with their run id."""
+    return spark.read.format(file_format).load(path)
