@@ -324,7 +324,7 @@ def unused_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 
-def _scaled(spark: SparkSession, sf_dir: str, scaler: str) -> DataFrame:
+def _scaled(spark: SparkSession, sf_dir: str, scaler: str, digits: int = 6) -> DataFrame:
     df = v.numeric_clean(spark, sf_dir).select("NroPoliza", "SumaAsegurada", "antig", "PrimaRC")
     stages = build_pipeline(["SumaAsegurada", "antig"], ["PrimaRC"], "random_forest", scaler).getStages()[:-1]
     fitted = df
@@ -332,7 +332,7 @@ def _scaled(spark: SparkSession, sf_dir: str, scaler: str) -> DataFrame:
         step = stage.fit(df if stage is stages[0] else fitted) if hasattr(stage, "fit") else stage
         fitted = step.transform(fitted)
     values = vector_to_array("_scaled")
-    return rounded(fitted.select("NroPoliza", values[0].alias("SumaAsegurada"), values[1].alias("antig")))
+    return rounded(fitted.select("NroPoliza", values[0].alias("SumaAsegurada"), values[1].alias("antig")), digits)
 
 
 @query(
@@ -344,9 +344,13 @@ def minmax_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _scaled(spark, sf_dir, "minmax")
 
 
-@query("E7_standard_features")
+@query(
+    "E7_standard_features",
+    sql(f"""SELECT NroPoliza, {r('(SumaAsegurada - avg(SumaAsegurada) OVER ()) / stddev_samp(SumaAsegurada) OVER ()', 'SumaAsegurada', 4)},
+                   {r('(antig - avg(antig) OVER ()) / stddev_samp(antig) OVER ()', 'antig', 4)} FROM numeric_clean"""),
+)
 def standard_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _scaled(spark, sf_dir, "standard")
+    return _scaled(spark, sf_dir, "standard", 4)
 
 
 @query("E7_robust_features")
