@@ -46,12 +46,23 @@ FORMULAS = {
 FORMULA_FEATURES = ["SumaAsegurada", "TasaCasco", "FactorCasco", "antig"]
 
 
+SMALL_TABLE_BYTES = 1 << 30
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return read_table(spark, f"{sf_dir}/{name}.parquet", trusted=True)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A small table in fewer files than there are cores would be computed by a few tasks: deal its rows
+    out first. Larger tables are scanned as they lie."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return df.repartition(cores) if size < SMALL_TABLE_BYTES and len(df.inputFiles()) < cores else df
+
+
 def portfolio(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = table(spark, sf_dir, "lineitem").withColumns(
+    lines = spread(table(spark, sf_dir, "lineitem")).withColumns(
         {
             # The sources have two decimals and no negative value; this is rounding without BigDecimal.
             "cents": (F.col("l_extendedprice") * 100 + 0.5).cast("long"),

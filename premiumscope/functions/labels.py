@@ -44,7 +44,9 @@ def _canonical_tag(tag: Column) -> Column:
     whole = F.when(tag.rlike(r"^[+-]?\d+$"), tag.try_cast("decimal(38,0)").cast("string"))
     number = F.when(tag.rlike(DECIMAL_TEXT), tag.try_cast("double"))
     integral = F.when(is_integral(number), number.try_cast("decimal(38,0)").cast("string"))
-    return F.coalesce(whole, integral, tag)
+    # Most tags are words: look at the first character before trying any pattern.
+    may_be_number = F.substring(tag, 1, 1).isin(*"+-.0123456789")
+    return F.when(may_be_number, F.coalesce(whole, integral, tag)).otherwise(tag)
 
 
 def tag_tokens(value: Column) -> Column:
