@@ -42,13 +42,13 @@ class Scratch:
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.root = f"{checkpoint_root(spark)}/llm/{name}-{uuid.uuid4().hex}"
-        self.paths: dict[int, str] = {}
+        self.count = 0
 
     def keep(self, df: DataFrame) -> DataFrame:
-        path = f"{self.root}/{len(self.paths)}"
+        self.count += 1
+        path = f"{self.root}/{self.count}"
         df.write.parquet(path)
         kept = self.spark.read.schema(df.schema).parquet(path)
-        self.paths[id(kept)] = path
         kept._scratch = path
         return kept
 

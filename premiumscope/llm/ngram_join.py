@@ -37,7 +37,7 @@ from premiumscope.llm.components import components
 N, SIMILARITY = 5, Fraction(3, 4)
 # An n-gram in more than this share of the documents of a chunk is ordered last; how many such n-grams there
 # are is bounded by the average set size over this share.
-COMMON_SHARE, COMMON_LEAST, CHUNK_DOCS = 1 / 2000, 3, 20_000
+COMMON_SHARE, COMMON_LEAST, CHUNK_TOKENS = 1 / 2000, 3, 4_000_000
 # Set elements in one block of a comparison: memory of a task.
 BLOCK_TOKENS = 1_000_000
 SALTS = 64
@@ -45,34 +45,41 @@ SALTS = 64
 
 # ---- sets ---------------------------------------------------------------------------------------------
 
-def _sets(batch: pa.RecordBatch, n: int) -> list[np.ndarray]:
-    """Sorted distinct n-gram fingerprints per text; fewer than n words give the whole sequence as one."""
+def _sets(batch: pa.RecordBatch, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct n-gram fingerprints of all texts one after the other, and how many each text has.
+    Fewer than n words give the whole sequence as one."""
     words = Words(batch.column("text"), lower=True)
-    hashes = words.hashes()
+    hashes, counts = words.hashes(), words.counts()
     grams = gram_hashes(hashes, n)
-    sets = []
-    for i in range(batch.num_rows):
-        start, stop = gram_range(words.first, i, n)
-        if stop > start:
-            own = np.sort(grams[start:stop])
-            sets.append(own[np.concatenate(([True], own[1:] != own[:-1]))])
-        else:
-            few = hashes[start : words.first[i + 1]]
-            whole = np.append(few, np.uint64(len(few))) * np.append(GRAM_VALUES[: len(few)], GRAM_VALUES[-1])
-            sets.append(mix(whole.sum(dtype=np.uint64, keepdims=True)) if len(few) else few)
-    return sets
-
-
-def _name(own: np.ndarray) -> tuple[int, int]:
-    """Two fingerprints of a whole set."""
-    first = mix(own + GRAM_VALUES[-2]).sum(dtype=np.uint64)
-    second = mix(own ^ GRAM_VALUES[-3]).sum(dtype=np.uint64)
-    pair = mix(np.array([first ^ (second >> np.uint64(1)), second], dtype=np.uint64)).view(np.int64)
-    return int(pair[0]), int(pair[1])
-
-
-def _lengths(sets: list[np.ndarray]) -> np.ndarray:
-    return np.fromiter((len(s) for s in sets), dtype=np.int64, count=len(sets))
+    sizes = np.where(counts >= n, counts - n + 1, np.minimum(counts, 1))
+    begins = np.cumsum(sizes) - sizes
+    flat = np.empty(int(sizes.sum()), dtype=np.uint64)
+    for begin, size, count, word in zip(begins.tolist(), sizes.tolist(), counts.tolist(), words.first.tolist()):
+        if count >= n:
+            own = flat[begin : begin + size]
+            own[:] = grams[word : word + size]
+            own.sort()
+        elif count:
+            few = np.append(hashes[word : word + count], np.uint64(count))
+            flat[begin] = mix((few * np.append(GRAM_VALUES[:count], GRAM_VALUES[-1])).sum(dtype=np.uint64, keepdims=True))[0]
+    kept = np.ones(len(flat), dtype=bool)
+    kept[1:] = flat[1:] != flat[:-1]
+    filled = sizes > 0
+    kept[begins[filled]] = True
+    if filled.any():
+        sizes[filled] = np.add.reduceat(kept, begins[filled], dtype=np.int64)
+    return flat[kept], sizes
+
+
+def _names(flat: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two fingerprints of each whole set."""
+    first, second = np.zeros(len(sizes), dtype=np.uint64), np.zeros(len(sizes), dtype=np.uint64)
+    filled = sizes > 0
+    if filled.any():
+        begins = (np.cumsum(sizes) - sizes)[filled]
+        first[filled] = np.add.reduceat(mix(flat + GRAM_VALUES[-2]), begins)
+        second[filled] = np.add.reduceat(mix(flat ^ GRAM_VALUES[-3]), begins)
+    return mix(first ^ (second >> np.uint64(1))).view(np.int64), mix(second).view(np.int64)
 
 
 def _signatures(n: int):
@@ -87,62 +94,54 @@ def _signatures(n: int):
         return pa.record_batch([blank, blank, blank, blank, pa.array(tokens), pa.array(seen)], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chunk, docs = [], 0
+        chunk, docs, held = [], 0, 0
         for batch in text_slices(batches):
-            sets = _sets(batch, n)
-            names = [_name(s) for s in sets]
-            blank = pa.nulls(len(sets), pa.int64())
+            flat, sizes = _sets(batch, n)
+            node, check = _names(flat, sizes)
+            blank = pa.nulls(len(sizes), pa.int64())
             yield pa.record_batch(
-                [batch.column("doc_id"), pa.array(_lengths(sets)), pa.array([a for a, _ in names]),
-                 pa.array([b for _, b in names]), blank, blank], schema=schema,
-            )
-            chunk += sets
-            docs += len(sets)
-            if docs >= CHUNK_DOCS:
+                [batch.column("doc_id"), pa.array(sizes), pa.array(node), pa.array(check), blank, blank], schema=schema)
+            chunk.append(flat)
+            docs, held = docs + len(sizes), held + len(flat)
+            if held >= CHUNK_TOKENS:
                 yield common(chunk, docs)
-                chunk, docs = [], 0
-        if chunk:
+                chunk, docs, held = [], 0, 0
+        if held:
             yield common(chunk, docs)
 
     return run
 
 
-def _prefix_size(n: int, t: Fraction) -> int:
-    return n - -(-n * t.numerator // t.denominator) + 1
-
-
 def _prefixes(n: int, t: Fraction, common: np.ndarray):
     schema = pa.schema([("token", pa.int64()), ("node", pa.int64()), ("n", pa.int32()), ("common", pa.bool_())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         done: set[int] = set()  # copies in one task are told once; the rest collapse later
         for batch in text_slices(batches):
-            fresh = []
-            for own in _sets(batch, n):
-                if len(own) and (name := _name(own)[0]) not in done:
-                    done.add(name)
-                    fresh.append((name, own))
+            flat, sizes = _sets(batch, n)
+            names = _names(flat, sizes)[0]
+            fresh = np.zeros(len(sizes), dtype=bool)
+            for i, name in enumerate(names.tolist()):
+                fresh[i] = sizes[i] > 0 and name not in done
+                done.add(name)
             if len(done) > 1_000_000:
                 done.clear()
-            if not fresh:
+            flat = flat[np.repeat(fresh, sizes)]
+            sizes, names = sizes[fresh], names[fresh]
+            if not len(sizes):
                 continue
-            lengths = _lengths([own for _, own in fresh])
-            flat = np.concatenate([own for _, own in fresh])
             late = np.zeros(len(flat), dtype=bool)
             if len(common):
-                at = np.minimum(np.searchsorted(common, flat), len(common) - 1)
-                late = common[at] == flat
+                late = common[np.minimum(np.searchsorted(common, flat), len(common) - 1)] == flat
             # Sorted sets stay sorted within (text, early or late).
-            text = np.repeat(np.arange(len(fresh)), lengths)
+            text = np.repeat(np.arange(len(sizes)), sizes)
             order = np.argsort(text * 2 + late, kind="stable")
-            place = np.arange(len(flat)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-            size = np.array([_prefix_size(int(x), t) for x in lengths])
-            chosen = order[place < size[text]]
+            place = np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            ahead = sizes - -(-sizes * t.numerator // t.denominator) + 1
+            chosen = order[place < ahead[text]]
             yield pa.record_batch(
-                [pa.array(flat[chosen].view(np.int64)),
-                 pa.array(np.repeat(np.array([a for a, _ in fresh]), size)),
-                 pa.array(np.repeat(lengths, size).astype(np.int32)), pa.array(late[chosen])], schema=schema,
-            )
+                [pa.array(flat[chosen].view(np.int64)), pa.array(np.repeat(names, ahead)),
+                 pa.array(np.repeat(sizes, ahead).astype(np.int32)), pa.array(late[chosen])], schema=schema)
 
     return run
 
@@ -152,9 +151,10 @@ def _whole_sets(n: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_slices(batches):
-            sets = _sets(batch, n)
-            yield pa.record_batch([pa.array([_name(s)[0] for s in sets]),
-                                   pa.array([s.tobytes() for s in sets], pa.binary())], schema=schema)
+            flat, sizes = _sets(batch, n)
+            ends = np.cumsum(sizes).tolist()
+            own = [flat[end - size : end].tobytes() for end, size in zip(ends, sizes.tolist())]
+            yield pa.record_batch([pa.array(_names(flat, sizes)[0]), pa.array(own, pa.binary())], schema=schema)
 
     return run
 
@@ -300,14 +300,18 @@ def ngram_join(docs: DataFrame, n: int = N, similarity: Fraction = SIMILARITY) -
     shared = first.withColumn("key", key).withColumns({"low": F.min("node").over(same), "high": F.max("node").over(same)})
     shared = scratch.keep(shared.filter("common OR low <> high").select("token", "node", "n").distinct())
 
-    # Texts of the nodes that are left, one document for each.
     nodes = scratch.keep(shared.select("node", "n").distinct())
-    named = sets_of.join(nodes.select("node"), "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
-    chosen = named.filter("doc_id IS NOT NULL").select("doc_id").distinct()
-    sets = texts.join(chosen, "doc_id", "left_semi").mapInArrow(_whole_sets(n), "node long, tokens binary")
-    unnamed = named.filter("doc_id IS NULL").select("node")
-    nameless = texts.filter("doc_id IS NULL").mapInArrow(_whole_sets(n), "node long, tokens binary")
-    sets = scratch.keep(sets.union(nameless.join(unnamed, "node", "left_semi")))
+
+    def sets(wanted: DataFrame) -> DataFrame:
+        """Sets of the wanted nodes, from the text of one document for each."""
+        named = sets_of.join(wanted, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
+        named = scratch.keep(named)
+        chosen = scratch.keep(named.filter("doc_id IS NOT NULL").select("doc_id").distinct())
+        kind = "node long, tokens binary"
+        found = texts.join(chosen, "doc_id", "left_semi").mapInArrow(_whole_sets(n), kind)
+        nameless = named.filter("doc_id IS NULL").select("node")
+        bare = texts.filter("doc_id IS NULL").mapInArrow(_whole_sets(n), kind).join(nameless, "node", "left_semi")
+        return scratch.keep(found.union(bare))
 
     # Contraction: each node against the most central node of the n-grams it shares.
     central = shared.groupBy("node").agg((F.count("*") / (F.max("n") * (1 - float(similarity)) + 1)).alias("share"))
@@ -318,18 +322,25 @@ def ngram_join(docs: DataFrame, n: int = N, similarity: Fraction = SIMILARITY) -
     nearest = (shared.join(pivots, "token").filter((F.col("node") != F.col("target")) & fits)
                .groupBy("node", "n", "target", "size").count()
                .groupBy("node", "n").agg(F.max(F.struct("count", "target", "size")).alias("p")))
-    edges = scratch.keep(nearest.select("node", "n", F.col("p.target").alias("target"), F.col("p.size").alias("size")))
+    nearest = nearest.select("node", "n", F.col("p.target").alias("target"), F.col("p.size").alias("size"))
+    partner = shared.select("token", F.col("node").alias("target"))
+    edges = (nearest.join(shared.select("node", "token"), "node").join(partner, ["token", "target"])
+             .groupBy("node", "n", "target", "size").count()
+             .filter(F.col("count") >= _shared_least(similarity, F.col("n"), F.col("size"))))
+    edges = scratch.keep(edges.drop("count"))
+    own = sets(edges.select("node").union(edges.select("target")).distinct())
     members = edges.select("target", F.col("target").alias("node"), F.col("size").alias("n")).distinct()
-    stars = scratch.keep(_verified(edges.drop("size"), members, sets, similarity))
+    stars = scratch.keep(_verified(edges.drop("size"), members, own, similarity))
+    scratch.drop(own)
     merged = scratch.keep(components(stars, scratch))
 
     # Every remaining pair of components that share prefix n-grams.
     placed = nodes.join(merged, "node", "left").select("node", "n", F.coalesce("component", "node").alias("target"))
     placed = scratch.keep(placed)
     groups = placed.groupBy("target").agg(F.count("*").alias("nodes"), F.min("n").alias("low"), F.max("n").alias("high"))
-    held = scratch.keep(shared.join(placed.select("node", "target"), "node").join(groups, "target"))
-    mixed = held.groupBy("token").agg(F.min("target").alias("x"), F.max("target").alias("y")).filter("x <> y").select("token")
-    held = held.join(mixed, "token", "left_semi")
+    held_all = scratch.keep(shared.join(placed.select("node", "target"), "node").join(groups, "target"))
+    mixed = held_all.groupBy("token").agg(F.min("target").alias("x"), F.max("target").alias("y")).filter("x <> y").select("token")
+    held = held_all.join(mixed, "token", "left_semi")
     others = held.select("token", *[F.col(c).alias(f"{c}_") for c in ("target", "nodes", "low", "high")]).distinct()
     a, low, high = F.col("n"), F.col("low_"), F.col("high_")
     t = float(similarity)
@@ -342,7 +353,8 @@ def ngram_join(docs: DataFrame, n: int = N, similarity: Fraction = SIMILARITY) -
              .select("node", "n", F.col("target_").alias("target")))
     pairs = scratch.keep(pairs)
     members = placed.join(pairs.select("target").distinct(), "target", "left_semi").select("target", "node", "n")
-    links = scratch.keep(_verified(pairs, members, sets, similarity))
+    own = sets(pairs.select("node").union(members.select("node")).distinct())
+    links = scratch.keep(_verified(pairs, members, own, similarity))
     joined = components(stars.union(links), scratch)
 
     firsts = sets_of.groupBy("node").agg(F.min("doc_id").alias("doc_id"))
@@ -350,7 +362,7 @@ def ngram_join(docs: DataFrame, n: int = N, similarity: Fraction = SIMILARITY) -
     labelled = scratch.keep(labelled)
     lowest = labelled.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     by_node = scratch.keep(labelled.join(lowest, "component").select("node", "component_id"))
-    scratch.drop(shared, nodes, sets, edges, stars, merged, placed, pairs, links, labelled)
+    scratch.drop(shared, nodes, own, edges, held_all, stars, merged, placed, pairs, links, labelled)
     result = rows.join(by_node, "node", "left").withColumn("linked", F.col("n") > 0)
     return result.select(
         "doc_id", F.col("n").alias("n_shingles"), "node",
