@@ -1,6 +1,6 @@
 """All queries of this subpackage (importing a module registers its query)."""
 
-from premiumscope.llm import q_ngram_join  # noqa: F401
+from premiumscope.llm import q_ngram_join, q_tokens  # noqa: F401
 from premiumscope.llm.registry import REGISTRY
 
 __all__ = ["REGISTRY"]

@@ -35,9 +35,9 @@ from premiumscope.llm.common import (
 from premiumscope.llm.components import components
 
 N, SIMILARITY = 5, Fraction(3, 4)
-# An n-gram in more than this share of the documents of a chunk is ordered last; how many such n-grams there
-# are is bounded by the average set size over this share.
-COMMON_SHARE, COMMON_LEAST, CHUNK_TOKENS = 1 / 2000, 3, 4_000_000
+# N-grams seen in more than this share of the documents are ordered last, the most frequent COMMON_MOST of them
+# (8 bytes each are sent to the tasks). Any order gives the same links; this one keeps posting lists short.
+COMMON_SHARE, COMMON_LEAST, COMMON_MOST, CHUNK_TOKENS = 1 / 20_000, 2, 1_000_000, 6_000_000
 # Set elements in one block of a comparison: memory of a task.
 BLOCK_TOKENS = 1_000_000
 SALTS = 64
@@ -291,7 +291,8 @@ def ngram_join(docs: DataFrame, n: int = N, similarity: Fraction = SIMILARITY) -
     sets_of = rows.filter("n > 0")
     total = rows.count()
     frequent = (signed.filter("node IS NULL").groupBy("token").agg(F.sum("seen").alias("seen"))
-                .filter(F.col("seen") >= total * COMMON_SHARE).select("token"))
+                .filter(F.col("seen") >= total * COMMON_SHARE)
+                .orderBy(F.desc("seen"), "token").limit(COMMON_MOST).select("token"))
     common = np.sort(frequent.toArrow().column(0).to_numpy().astype(np.int64).view(np.uint64))
 
     first = texts.mapInArrow(_prefixes(n, similarity, common), "token long, node long, n int, common boolean")
