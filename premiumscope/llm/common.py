@@ -20,6 +20,8 @@ SLICE_BYTES = 1 << 20
 
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
+# All ASCII characters but letters and digits.
+MARKS = np.array([b < 0x80 and not chr(b).isalnum() for b in range(256)])
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 0x20
 
@@ -113,12 +115,13 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 class Words:
-    """The words ``[^\\x20\\x09-\\x0D]+`` of a slice of texts: byte spans, fingerprints, first word per text."""
+    """The words ``[^\\x20\\x09-\\x0D]+`` of a slice of texts: byte spans, fingerprints, first word per text.
+    With ``separators`` words are runs of letters and digits (and of all characters outside ASCII)."""
 
-    def __init__(self, array: pa.Array, lower: bool = False):
+    def __init__(self, array: pa.Array, lower: bool = False, separators: bool = False):
         raw, offsets = text_bytes(array)
         self.raw, self.offsets = raw, offsets
-        solid = ~SPACE[raw]
+        solid = ~(MARKS if separators else SPACE)[raw]
         before = np.empty(len(raw), dtype=bool)
         before[:1] = False
         before[1:] = solid[:-1]
