@@ -63,22 +63,29 @@ def features_then_targets(df: DataFrame, targets: Sequence[str]) -> DataFrame:
 
 
 def drop_duplicates_keep_first(
-    df: DataFrame, identity: Sequence[str], order_by: Sequence[str] | None = None
+    df: DataFrame,
+    identity: Sequence[str],
+    order_by: Sequence[str] | None = None,
+    helpers: Sequence[str] = (),
 ) -> DataFrame:
     """One row per combination of all non-identity columns: the one that is first by ``order_by``.
 
+    Only the identity is left out of the comparison. A column that carries nothing but an order (a line
+    number) is named in ``helpers`` to be left out as well.
+
     Written as a grouped minimum, not a window: copies collapse in the map-side combine, so a row repeated
     by a third of the table still reaches the shuffle once per task. A leading 64-bit hash makes the sort
     inside the aggregate cheap for wide keys.
     """
     ids = [name for name in identity if name in df.columns]
     order = list(order_by or ids)
-    compared = [name for name in df.columns if name not in ids and name not in order]
-    first = F.min(F.struct(*[col(name) for name in dict.fromkeys([*order, *ids])])).alias("_first")
+    left_out = {*ids, *helpers}
+    compared = [name for name in df.columns if name not in left_out]
+    first = F.min(F.struct(*[col(name) for name in dict.fromkeys([*order, *ids, *helpers])])).alias("_first")
     # Adding 0.0 gives -0.0 and 0.0 the same hash; grouping treats them as equal anyway.
     hashed = [col(c) + F.lit(0.0) if is_floating(dtype_of(df, c)) else col(c) for c in compared]
     kept = df.groupBy(F.xxhash64(*hashed).alias("_hash"), *[col(c) for c in compared]).agg(first)
-    carried = set(ids) | set(order)
+    carried = {name for name in [*order, *ids] if name in left_out} | left_out
     return kept.select(
         *[F.col("_first").getField(name).alias(name) if name in carried else col(name) for name in df.columns]
     )

@@ -151,9 +151,8 @@ class ExpressionScorer:
 class ObjectScorer:
     """Any object with ``predict(features) -> n x k``: runs on Arrow batches, only the features travel."""
 
-    def __init__(self, model: Any, components: Sequence[str], features: Sequence[str] | None = None):
-        self.components, self.carried = list(components), []
-        self.features = list(features) if features is not None else saved_feature_names(model)
+    def __init__(self, model: Any, components: Sequence[str], features: Sequence[str]):
+        self.components, self.carried, self.features = list(components), [], list(features)
         self._model = model
 
     def score(self, df: DataFrame, outputs: Outputs) -> DataFrame:
@@ -179,16 +178,6 @@ def _batch_predictor(model: Any, features: list[str], width: int) -> Callable:
     return predict
 
 
-def saved_feature_names(model: Any) -> list[str]:
-    """Feature names stored on a model or on the ``model`` step of a pipeline; empty if it has none."""
-    steps = getattr(model, "named_steps", {})
-    for candidate in (model, steps.get("model")):
-        names = list(getattr(candidate, "feature_names_in_", []))
-        if names:
-            return names
-    return []
-
-
 def model_features(scorer: Scorer, columns: Sequence[str], excluded: Sequence[str]) -> list[str]:
     """The scorer's features, else the table's columns without the excluded ones."""
     return list(scorer.features) or feature_columns(columns, excluded)
@@ -225,7 +214,7 @@ def _scaler(kind: str):
 
 
 def _subset_strategy(value: Any) -> str:
-    if value is None or value == 1.0:
+    if value is None or (isinstance(value, float) and value == 1.0):  # the whole number 1 is one feature
         return "all"
     return str(value)
 
@@ -273,7 +262,10 @@ def estimator_parameters(model_type: str, params: Mapping[str, Any]) -> dict[str
     if family == "smooth":
         return _smooth_parameters(params)
     defaults = {"bootstrap": model_type == "random_forest"}
-    return _forest_parameters({**defaults, **params})
+    found = _forest_parameters({**defaults, **params})
+    if not found["bootstrap"] and found["subsamplingRate"] == 1.0 and found["featureSubsetStrategy"] == "all":
+        found["numTrees"] = 1  # nothing is drawn: all trees would be the same one
+    return found
 
 
 def _regressor(model_type: str, params: Mapping[str, Any], label: str, features: str, prediction: str):

@@ -121,3 +121,11 @@ def test_portfolio_encoding(spark):
     assert (rows["P1"]["Puertas"], rows["P3"]["Puertas"]) == (7.0, 0.0)
     record = built.metadata()
     assert (record["duplicate_rows_removed"], record["row_count"], record["dropped_columns"]) == (1, 3, [])
+
+
+def test_duplicates_differ_in_order_columns(spark):
+    df = spark.createDataFrame([("p1", "a", 1), ("p2", "a", 2), ("p3", "a", 2)], "id string, x string, seq int")
+    kept = encode.drop_duplicates_keep_first(df, ["id"], ["seq", "id"])
+    assert sorted(map(tuple, kept.collect())) == [("p1", "a", 1), ("p2", "a", 2)]
+    alone = encode.drop_duplicates_keep_first(df, ["id"], ["seq", "id"], helpers=["seq"])
+    assert [tuple(r) for r in alone.collect()] == [("p1", "a", 1)]

@@ -12,8 +12,8 @@ COMPONENTS = ["PrimaRC", "PrimaCasco"]
 @pytest.fixture(scope="module")
 def rows(spark):
     data = [
-        (f"p{i}", "X" if i < 12 else "Y", "AB"[i // 6 % 2], float(i), 100.0 + i, 20.0 + i / 2)
-        for i in range(18)
+        (f"k{n:02d}", "XYX"[n // 8], "ABB"[n // 8], 2.0 * n + 1, 40.0 + 3 * n, 7.0 + n % 8)
+        for n in range(24)
     ]
     schema = "NroPoliza string, Pol6TTaCod string, CoberturaLabel string, `Fea.ture` double, PrimaRC double, PrimaCasco double"
     return spark.createDataFrame(data, schema).withColumn("Prima", F.expr("PrimaRC + PrimaCasco")).cache()
@@ -38,6 +38,8 @@ def test_configuration_names_are_translated():
     found = models.estimator_parameters("random_forest", {"n_estimators": 350, "max_depth": 48, "max_features": 0.7, "max_samples": None, "criterion": "squared_error", "min_samples_split": 2, "n_jobs": -1, "min_samples_leaf": 3})
     assert (found["numTrees"], found["maxDepth"], found["featureSubsetStrategy"], found["subsamplingRate"], found["bootstrap"], found["minInstancesPerNode"]) == (350, 30, "0.7", 1.0, True, 3)
     assert models.estimator_parameters("extra_trees", {})["bootstrap"] is False
+    assert models.estimator_parameters("extra_trees", {"n_estimators": 9})["numTrees"] == 1
+    assert models.estimator_parameters("extra_trees", {"n_estimators": 9, "max_features": 1})["numTrees"] == 9
     network = {"hidden_units": 64, "hidden_layers": 2, "learning_rate": 0.001, "weight_decay": 1e-4, "batch_size": 256, "final_weight": 0.5, "max_epochs": 250, "patience": 25}
     assert models.estimator_parameters("pytorch", network)["regParam"] == 1e-4
     with pytest.raises(ValueError, match="Unknown parameters"):
@@ -71,7 +73,7 @@ def test_grid_and_sampling():
 def test_pair_baselines(rows):
     groups, outputs = ["Pol6TTaCod", "CoberturaLabel"], {"PrimaRC": "m", "PrimaCasco": "c"}
     means = models.PairMeanScorer(rows, groups, COMPONENTS, decimals=2).score(rows, outputs)
-    assert {r["m"] for r in means.collect()} == {102.5, 108.5, 114.5}
+    assert {r["m"] for r in means.collect()} == {50.5, 74.5, 98.5}
     lines = models.PairLineScorer(rows.withColumnRenamed("Fea.ture", "f"), groups, COMPONENTS, "f")
     scored = lines.score(rows.withColumnRenamed("Fea.ture", "f"), outputs).collect()
     assert all(r["m"] == pytest.approx(r["PrimaRC"]) and r["c"] == pytest.approx(r["PrimaCasco"]) for r in scored)
@@ -105,7 +107,7 @@ def test_search_returns_out_of_fold_scores(spark, rows):
     with pytest.raises(ValueError, match="search.method"):
         search.search_models(rows, ["Fea.ture"], COMPONENTS, groups, ["NroPoliza"], {**config, "search": {"method": "x"}})
     with pytest.raises(ValueError, match="n_splits"):
-        search.search_models(rows, ["Fea.ture"], COMPONENTS, groups, ["NroPoliza"], {**config, "cv": {"n_splits": 7}})
+        search.search_models(rows, ["Fea.ture"], COMPONENTS, groups, ["NroPoliza"], {**config, "cv": {"n_splits": 9}})
 
 
 def test_first_best_wins_ties():
@@ -119,14 +121,14 @@ def test_first_best_wins_ties():
 
 def test_scored_table_hides_encodings(spark):
     df = spark.createDataFrame(
-        [("X", "P1", 1, 100.0, 100.0, "train"), ("Y", "P2", 0, 100.0, 0.0, "test")],
-        "Pol6TTaCod string, NroPoliza string, TariffCoverage_X__A int, PrimaRC double, Prima double, `Dataset Split` string",
+        [(0, "N1", "k7", 64.0, 80.0, "test"), (1, "N2", "k8", 50.0, 0.0, "train")],
+        "TariffCoverage_N1__C int, Pol6TTaCod string, NroPoliza string, PrimaRC double, Prima double, `Dataset Split` string",
     )
-    scorer = models.ExpressionScorer({"PrimaRC": "90D"}, [])
+    scorer = models.ExpressionScorer({"PrimaRC": "60D"}, [])
     scored = models.scored_table(df, scorer, "Prima", "NroPoliza")
     assert scored.columns == ["NroPoliza", "Pol6TTaCod", "PrimaRC", "Prima", "PrimaRC Prediction", "Prediction", "Absolute Percent Error", "Dataset Split"]
-    assert [r["Absolute Percent Error"] for r in scored.orderBy("NroPoliza").collect()] == [10.0, None]
+    assert [r["Absolute Percent Error"] for r in scored.orderBy("NroPoliza").collect()] == [25.0, None]
     early = models.holdout_scores(scored, "NroPoliza", "Prima").orderBy("NroPoliza").collect()
-    assert [tuple(r)[2:] for r in early] == [(None, None), (90.0, None)]
+    assert [tuple(r)[2:] for r in early] == [(60.0, 25.0), (None, None)]
     with pytest.raises(ValueError, match="not assigned"):
         models.scored_table(df.drop("Dataset Split"), scorer, "Prima", "NroPoliza")
