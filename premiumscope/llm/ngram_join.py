@@ -342,14 +342,20 @@ def ngram_join(docs: DataFrame, n: int = N, similarity: Fraction = SIMILARITY) -
     held_all = scratch.keep(shared.join(placed.select("node", "target"), "node").join(groups, "target"))
     mixed = held_all.groupBy("token").agg(F.min("target").alias("x"), F.max("target").alias("y")).filter("x <> y").select("token")
     held = held_all.join(mixed, "token", "left_semi")
-    others = held.select("token", *[F.col(c).alias(f"{c}_") for c in ("target", "nodes", "low", "high")]).distinct()
+    # A pair cannot share more prefix n-grams than either side has in common with others at all.
+    own_most = held.groupBy("node", "target").agg(F.count("*").alias("shares"))
+    most = own_most.groupBy("target").agg(F.max("shares").alias("most"))
+    held = held.join(own_most.drop("target"), "node").join(most, "target")
+    carried = ("target", "nodes", "low", "high", "most")
+    others = held.select("token", *[F.col(c).alias(f"{c}_") for c in carried]).distinct()
     a, low, high = F.col("n"), F.col("low_"), F.col("high_")
     t = float(similarity)
     low = F.greatest(low, F.ceil(a * t - 1e-9))
     high = F.least(high, F.floor(a / t + 1e-9))
     least = F.least(_shared_least(similarity, a, low), _shared_least(similarity, a, high))
     later = F.struct("nodes", "target") < F.struct("nodes_", "target_")
-    pairs = (held.join(others, "token").filter(later & (low <= high))
+    possible = (low <= high) & (F.least("shares", "most_") >= least)
+    pairs = (held.join(others, "token").filter(later & possible)
              .groupBy("node", "n", "target_", least.alias("least")).count().filter("count >= least")
              .select("node", "n", F.col("target_").alias("target")))
     pairs = scratch.keep(pairs)
