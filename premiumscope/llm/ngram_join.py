@@ -40,7 +40,7 @@ N, SIMILARITY = 5, Fraction(3, 4)
 COMMON_SHARE, COMMON_LEAST, COMMON_MOST, CHUNK_TOKENS = 1 / 20_000, 2, 1_000_000, 6_000_000
 # Set elements in one block of a comparison: memory of a task.
 BLOCK_TOKENS = 1_000_000
-SALTS = 64
+SALTS, SPARE = 64, 3
 
 
 # ---- sets ---------------------------------------------------------------------------------------------
@@ -340,12 +340,15 @@ def ngram_join(docs: DataFrame, n: int = N, similarity: Fraction = SIMILARITY) -
     placed = scratch.keep(placed)
     groups = placed.groupBy("target").agg(F.count("*").alias("nodes"), F.min("n").alias("low"), F.max("n").alias("high"))
     held_all = scratch.keep(shared.join(placed.select("node", "target"), "node").join(groups, "target"))
-    mixed = held_all.groupBy("token").agg(F.min("target").alias("x"), F.max("target").alias("y")).filter("x <> y").select("token")
-    held = held_all.join(mixed, "token", "left_semi")
+    mixed = held_all.groupBy("token").agg(F.min("target").alias("x"), F.max("target").alias("y"), F.count("*").alias("times"))
+    held = held_all.join(mixed.filter("x <> y").select("token", "times"), "token")
     # A pair cannot share more prefix n-grams than either side has in common with others at all.
     own_most = held.groupBy("node", "target").agg(F.count("*").alias("shares"))
     most = own_most.groupBy("target").agg(F.max("shares").alias("most"))
     held = held.join(own_most.drop("target"), "node").join(most, "target")
+    # Of ``shares`` n-grams of a node, in order of frequency, at least ``SPARE + 1`` of any ``least`` are among the
+    # first ``shares - least + 1 + SPARE``: the most frequent ones need not be joined.
+    held = held.withColumn("place", F.row_number().over(Window.partitionBy("node").orderBy("times", "token")))
     carried = ("target", "nodes", "low", "high", "most")
     others = held.select("token", *[F.col(c).alias(f"{c}_") for c in carried]).distinct()
     a, low, high = F.col("n"), F.col("low_"), F.col("high_")
@@ -355,8 +358,9 @@ def ngram_join(docs: DataFrame, n: int = N, similarity: Fraction = SIMILARITY) -
     least = F.least(_shared_least(similarity, a, low), _shared_least(similarity, a, high))
     later = F.struct("nodes", "target") < F.struct("nodes_", "target_")
     possible = (low <= high) & (F.least("shares", "most_") >= least)
-    pairs = (held.join(others, "token").filter(later & possible)
-             .groupBy("node", "n", "target_", least.alias("least")).count().filter("count >= least")
+    early = F.col("place") <= F.col("shares") - least + 1 + SPARE
+    pairs = (held.join(others, "token").filter(later & possible & early)
+             .groupBy("node", "n", "target_", F.least(least, F.lit(SPARE + 1)).alias("least")).count().filter("count >= least")
              .select("node", "n", F.col("target_").alias("target")))
     pairs = scratch.keep(pairs)
     members = placed.join(pairs.select("target").distinct(), "target", "left_semi").select("target", "node", "n")
