@@ -86,28 +86,34 @@ def _signatures(n: int):
     schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("node", pa.int64()), ("check", pa.int64()),
                         ("token", pa.int64()), ("seen", pa.int64())])
 
-    def common(chunk: list[np.ndarray], docs: int) -> pa.RecordBatch:
-        tokens, seen = np.unique(np.concatenate(chunk), return_counts=True)
+    def common(tokens: np.ndarray, docs: int) -> pa.RecordBatch:
+        tokens.sort()  # in place: the chunk is the largest thing a task holds
+        same = np.zeros(len(tokens) + 1, dtype=bool)
+        np.equal(tokens[1:], tokens[:-1], out=same[1:-1])
+        begins, ends = np.flatnonzero(same[1:] & ~same[:-1]), np.flatnonzero(same[:-1] & ~same[1:])
+        seen = ends - begins + 1
         kept = seen >= max(COMMON_LEAST, docs * COMMON_SHARE)
-        tokens, seen = tokens[kept].view(np.int64), seen[kept]
+        tokens, seen = tokens[begins[kept]].view(np.int64), seen[kept]
         blank = pa.nulls(len(tokens), pa.int64())
         return pa.record_batch([blank, blank, blank, blank, pa.array(tokens), pa.array(seen)], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chunk, docs, held = [], 0, 0
+        chunk, docs, held = np.empty(CHUNK_TOKENS, dtype=np.uint64), 0, 0
         for batch in text_slices(batches):
             flat, sizes = _sets(batch, n)
             node, check = _names(flat, sizes)
             blank = pa.nulls(len(sizes), pa.int64())
             yield pa.record_batch(
                 [batch.column("doc_id"), pa.array(sizes), pa.array(node), pa.array(check), blank, blank], schema=schema)
-            chunk.append(flat)
+            if held + len(flat) > CHUNK_TOKENS:
+                yield common(chunk[:held], docs)
+                docs, held = 0, 0
+            if len(flat) > CHUNK_TOKENS:  # one very long text: its n-grams are distinct
+                continue
+            chunk[held : held + len(flat)] = flat
             docs, held = docs + len(sizes), held + len(flat)
-            if held >= CHUNK_TOKENS:
-                yield common(chunk, docs)
-                chunk, docs, held = [], 0, 0
         if held:
-            yield common(chunk, docs)
+            yield common(chunk[:held], docs)
 
     return run
 
@@ -124,7 +130,7 @@ def _prefixes(n: int, t: Fraction, common: np.ndarray):
             for i, name in enumerate(names.tolist()):
                 fresh[i] = sizes[i] > 0 and name not in done
                 done.add(name)
-            if len(done) > 1_000_000:
+            if len(done) > 200_000:
                 done.clear()
             flat = flat[np.repeat(fresh, sizes)]
             sizes, names = sizes[fresh], names[fresh]
