@@ -28,6 +28,8 @@ LOWER[0x41:0x5B] += 0x20
 _random = np.random.default_rng(20240607)
 BYTE_VALUES = _random.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 GRAM_VALUES = _random.integers(1, 2**63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+# Spark removes a statement's shuffle files when it ends, not when the driver happens to collect garbage.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 BASE = 0x9E3779B97F4A7C13
 BASE_INVERSE = pow(BASE, -1, 1 << 64)
 
@@ -49,7 +51,12 @@ class Scratch:
     def keep(self, df: DataFrame) -> DataFrame:
         self.count += 1
         path = f"{self.root}/{self.count}"
-        df.write.parquet(path)
+        before = self.spark.conf.get(CLEANUP, "false")
+        self.spark.conf.set(CLEANUP, "true")
+        try:
+            df.write.parquet(path)
+        finally:
+            self.spark.conf.set(CLEANUP, before)
         kept = self.spark.read.schema(df.schema).parquet(path)
         kept._scratch = path
         return kept

@@ -346,6 +346,7 @@ def ngram_join(docs: DataFrame, n: int = N, similarity: Fraction = SIMILARITY) -
     placed = scratch.keep(placed)
     groups = placed.groupBy("target").agg(F.count("*").alias("nodes"), F.min("n").alias("low"), F.max("n").alias("high"))
     held_all = scratch.keep(shared.join(placed.select("node", "target"), "node").join(groups, "target"))
+    scratch.drop(shared, nodes, edges)
     mixed = held_all.groupBy("token").agg(F.min("target").alias("x"), F.max("target").alias("y"), F.count("*").alias("times"))
     held = held_all.join(mixed.filter("x <> y").select("token", "times"), "token")
     # A pair cannot share more prefix n-grams than either side has in common with others at all.
@@ -379,7 +380,7 @@ def ngram_join(docs: DataFrame, n: int = N, similarity: Fraction = SIMILARITY) -
     labelled = scratch.keep(labelled)
     lowest = labelled.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     by_node = scratch.keep(labelled.join(lowest, "component").select("node", "component_id"))
-    scratch.drop(shared, nodes, own, edges, held_all, stars, merged, placed, pairs, links, labelled)
+    scratch.drop(own, held_all, stars, merged, placed, pairs, links, labelled)
     result = rows.join(by_node, "node", "left").withColumn("linked", F.col("n") > 0)
     return result.select(
         "doc_id", F.col("n").alias("n_shingles"), "node",
