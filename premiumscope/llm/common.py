@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import sys
 import types
 import uuid
@@ -16,7 +17,7 @@ from pyspark.sql import functions as F
 from premiumscope.operators.scale import checkpoint_root
 
 # Bytes of text that are turned into arrays at once: memory per task follows this, not the batch.
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 19
 
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -73,10 +74,18 @@ def documents_of(df: DataFrame, *columns: str) -> DataFrame:
     return df.select(*[F.col(f"`{name}`") for name in columns])
 
 
-def worker_cache() -> dict:
-    """A dictionary that lives as long as the Python worker does."""
+def worker_cache(owner: str) -> dict:
+    """A dictionary that lives as long as the Python worker does, or until another owner asks for one: Spark hands
+    its workers from stage to stage, and the tables of several operators would add up."""
     name = "_premiumscope_worker"
-    return sys.modules.setdefault(name, types.ModuleType(name)).__dict__
+    held = sys.modules.setdefault(name, types.ModuleType(name)).__dict__
+    if held.get("owner") != owner:
+        held["owner"], held["cache"] = owner, {}
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc: give what was freed back to the system
+        if trim is not None:
+            trim(0)
+    return held["cache"]
 
 
 # ---- batches of text ----------------------------------------------------------------------------------
@@ -105,7 +114,7 @@ def text_bytes(array: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _powers(n: int, base: int, key: str) -> np.ndarray:
-    cache = worker_cache()
+    cache = worker_cache("words")
     if key not in cache or len(cache[key]) < n:
         size = max(n, SLICE_BYTES + 1)
         steps = np.full(size, base, dtype=np.uint64)

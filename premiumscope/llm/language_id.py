@@ -30,7 +30,7 @@ def held_out(doc_id: Column) -> Column:
 
 
 def _is_letter(points: np.ndarray) -> np.ndarray:
-    table = worker_cache().setdefault("letter table", np.array([chr(c).isalpha() for c in range(0x3000)]))
+    table = worker_cache("letters").setdefault("letter table", np.array([chr(c).isalpha() for c in range(0x3000)]))
     letter = table[np.minimum(points, len(table) - 1)]
     far = np.flatnonzero(points >= len(table))
     if len(far):
@@ -73,7 +73,7 @@ class GramVectors:
 
     def __init__(self, dimensions: int):
         self.dimensions = dimensions
-        cache = worker_cache()
+        cache = worker_cache("letters")
         self.letters: dict = cache.setdefault(("letters", dimensions), {})
         self.rows: dict = cache.setdefault(("grams", dimensions), {})
 

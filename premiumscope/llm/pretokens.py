@@ -64,7 +64,7 @@ class Coder:
 
 
 def coder(path: str) -> Coder:
-    cache = worker_cache()
+    cache = worker_cache("tokens")
     if ("coder", path) not in cache:
         cache["coder", path] = Coder(path)
     return cache["coder", path]
