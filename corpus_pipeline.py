@@ -30,9 +30,15 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near copies."""
-    joined = ngram_join(docs).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    return docs.join(joined, "doc_id", "left_semi").select(*docs.columns)
+    """The document with the smallest id of each group of near copies; documents without an id stay.
+
+    The ids that go are written first: Spark then knows their size, and sends them to the documents instead of
+    shuffling whole texts as long as they are few.
+    """
+    scratch = Scratch(spark, "near-copies")
+    first = F.bool_or(F.col("doc_id") == F.col("component_id")).alias("first")
+    gone = scratch.keep(ngram_join(docs).groupBy("doc_id").agg(first).filter("NOT first").select("doc_id"))
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
