@@ -393,3 +393,12 @@ def test_pipeline_stages(spark):
 def test_clashing_types_do_not_matter(spark):
     frame = spark.createDataFrame([(1, "x y z", 2)], T.StructType.fromDDL("doc_id int, text string, `doc.id` int"))
     assert token_counts.token_counts(frame).first()["doc_id"] == 1
+
+
+def test_near_copy_stage_keeps_one_of_each_group_and_rows_without_id(spark):
+    text = "one two three four five six seven eight nine ten"
+    rows = [(3, text, "x", "s", 1), (2, text, "x", "s", 1), (5, "quite another text with more than five words", "x", "s", 1), (6, None, None, "s", 0),
+            (7, "", None, "s", 0), (None, text, "x", "s", 1)]
+    kept = corpus_pipeline.drop_near_copies(spark, spark.createDataFrame(rows, DOCS), "")
+    assert sorted((r["doc_id"] for r in kept.collect()), key=str) == [2, 5, 6, 7, None]
+    assert corpus_pipeline.drop_near_copies(spark, spark.createDataFrame([], DOCS), "").count() == 0
