@@ -280,6 +280,18 @@ def _shared_least(t: Fraction, a: Column, b: Column) -> Column:
     return F.greatest(F.lit(1), _at_least(t, a, b) - kept + 1)
 
 
+def _shared_least_within(t: Fraction, a: Column, low: Column, high: Column) -> Column:
+    """As ``_shared_least``, for every size from ``low`` to ``high`` on the other side.
+
+    Up to ``a`` it rises with the size, so ``low`` decides. Above, its two ceilings make it go up and down by one
+    while it falls, and ``p (q a - p b) / (q (p + q))``, rounded down, plus one is below it and never rises.
+    """
+    p, q = t.numerator, t.denominator
+    falling = F.floor((a * q - high * p) * F.lit(p) / F.lit(q * (p + q)) + F.lit(1e-9)) + 1
+    first = _shared_least(t, a, low)
+    return F.when((low == high) | (high <= a), first).otherwise(F.greatest(F.lit(1), F.least(first, falling)))
+
+
 def ngram_join(docs: DataFrame, n: int = N, similarity: Fraction = SIMILARITY) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_shingles, node (name of the set), component_id.
 
@@ -362,7 +374,7 @@ def ngram_join(docs: DataFrame, n: int = N, similarity: Fraction = SIMILARITY) -
     t = float(similarity)
     low = F.greatest(low, F.ceil(a * t - 1e-9))
     high = F.least(high, F.floor(a / t + 1e-9))
-    least = F.least(_shared_least(similarity, a, low), _shared_least(similarity, a, high))
+    least = _shared_least_within(similarity, a, low, high)
     later = F.struct("nodes", "target") < F.struct("nodes_", "target_")
     possible = (low <= high) & (F.least("shares", "most_") >= least)
     early = F.col("place") <= F.col("shares") - least + 1 + SPARE

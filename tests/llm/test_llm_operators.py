@@ -2,12 +2,15 @@
 
 import collections
 import hashlib
+import math
 import random
 import re
 import zlib
+from fractions import Fraction
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -117,6 +120,31 @@ def test_ngram_join(table, corpus, empty):
     assert ngram_join.ngram_join(empty).count() == 0
 
 
+def test_ngram_join_links_a_member_between_the_sizes_of_its_component(spark):
+    """A is linked with B only, which lies between the sizes of C and D and shares fewer n-grams than either bound."""
+    named = sorted((int(ngram_join._sets(pa.record_batch([pa.array([w])], names=["text"]), 1)[0][0]), w) for w in (f"w{i}" for i in range(13)))
+    v, w, u1, u2, *o = [word for _, word in named]
+    sets = {1: {v, *o}, 2: {u1, u2, *o}, 3: {u1, u2, w, *o}, 4: {u1, u2, *o[:8]}}
+    links = [(a, b) for a in sets for b in sets if a < b and 4 * len(sets[a] & sets[b]) >= 3 * len(sets[a] | sets[b])]
+    assert (1, 2) in links and (1, 3) not in links and (1, 4) not in links
+    docs = spark.createDataFrame([(d, " ".join(s)) for d, s in sets.items()], "doc_id long, text string").coalesce(1)
+    assert {r["component_id"] for r in ngram_join.ngram_join(docs, n=1).collect()} == {1}
+
+
+def test_shared_least_within_holds_for_every_size(spark):
+    for t in (ngram_join.SIMILARITY, Fraction(4, 5), Fraction(1, 2)):
+        def need(a, b):
+            return max(1, math.ceil(Fraction(t.numerator * (a + b), t.numerator + t.denominator)) - math.ceil(max(a, b) * t) + 1)
+
+        ranges = [(a, low, high) for a in range(1, 61) for low in range(math.ceil(a * t), math.floor(a / t) + 1)
+                  for high in range(low, math.floor(a / t) + 1)]
+        frame = spark.createDataFrame(ranges, "a int, low int, high int")
+        bound = ngram_join._shared_least_within(t, F.col("a"), F.col("low"), F.col("high"))
+        for a, low, high, least in frame.select("a", "low", "high", bound).collect():
+            true = min(need(a, b) for b in range(low, high + 1))
+            assert max(1, true - 1) <= least <= true
+
+
 def test_prefix_tree_finds_the_same_as_all_pairs():
     rng = np.random.default_rng(2)
     base = rng.choice(500, 60, replace=False)
