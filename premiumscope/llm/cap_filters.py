@@ -11,6 +11,7 @@ smallest filter it shares, so no pair is written out.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 from statistics import NormalDist
 
 import numpy as np
@@ -22,26 +23,49 @@ from premiumscope.llm.common import Scratch, documents_of
 from premiumscope.llm.components import components
 
 BLOCKS, SEED = 4, 93
-# Expected number of filters per vector, and how many its best filters it always takes. Two vectors of cosine
-# 0.93 then miss each other about once in two hundred times, of 0.97 hardly ever.
-FILTERS, LEAST_FILTERS = 32, 24
+# Two vectors whose cosine is just the one asked for share no filter in at most this share of the cases. Each code
+# tries it on random pairs: from FILTERS filters a vector on, the number grows by half until it holds.
+MISSED, PAIRS, FILTERS = 0.005, 1000, 32
 # Rows of one side of a comparison: memory of a task.
 BLOCK_ROWS = 1024
 
 
 class ProductCode:
-    def __init__(self, dimensions: int, words: int):
+    """``count`` filters per vector are expected, and a vector always takes three quarters of it, its best ones."""
+
+    def __init__(self, dimensions: int, words: int, least: float = 0.93):
         rng = np.random.default_rng([SEED, dimensions, words])
-        self.words = words
         self.padded = -(-dimensions // BLOCKS) * BLOCKS
+        if self.padded == BLOCKS:  # blocks of one dimension have two directions only
+            words = 2
+        self.words = words
         self.rotation = np.linalg.qr(rng.standard_normal((self.padded, self.padded)))[0][:dimensions]
         books = rng.standard_normal((BLOCKS, words, self.padded // BLOCKS))
         self.books = books / np.linalg.norm(books, axis=2, keepdims=True)
-        share = min(0.5, FILTERS / words**BLOCKS)
-        self.bound = NormalDist().inv_cdf(1 - share) * (BLOCKS / self.padded) ** 0.5
+        if words == 2:
+            self.books = np.tile([[1.0], [-1.0]], (BLOCKS, 1, 1))
+        self._take(FILTERS)
+        while self.least < words**BLOCKS and self._misses(dimensions, least):
+            self._take(self.count * 3 // 2)
+
+    def _take(self, count: int) -> None:
+        total = self.words**BLOCKS
+        self.count, self.least = count, min(count * 3 // 4, total)
+        self.bound = NormalDist().inv_cdf(1 - min(0.5, count / total)) * (BLOCKS / self.padded) ** 0.5
+
+    def _misses(self, dimensions: int, cosine: float) -> bool:
+        """Whether more than ``MISSED`` of the random pairs of this cosine share no filter."""
+        rng, missed = np.random.default_rng([SEED, dimensions]), 0
+        for _ in range(PAIRS):
+            a, b = np.linalg.qr(rng.standard_normal((dimensions, 2)))[0].T
+            near = cosine * a + max(0.0, 1 - cosine**2) ** 0.5 * b
+            missed += not len(np.intersect1d(self.filters(a), self.filters(near), assume_unique=True))
+            if missed > MISSED * PAIRS:
+                return True
+        return False
 
     def filters(self, unit: np.ndarray) -> np.ndarray:
-        """Sorted numbers of all filters whose cap holds the vector; at least the ``LEAST_FILTERS`` best."""
+        """Sorted numbers of all filters whose cap holds the vector; at least the ``least`` best."""
         parts = (unit @ self.rotation).reshape(BLOCKS, -1)
         scores = np.einsum("bwd,bd->bw", self.books, parts)
         first = (scores[0][:, None] + scores[1]).ravel()
@@ -51,7 +75,7 @@ class ProductCode:
         bound = self.bound
         while True:
             reach = np.searchsorted(falling, first - bound, side="right")
-            if reach.sum() >= min(LEAST_FILTERS, self.words**BLOCKS):
+            if reach.sum() >= self.least:
                 break
             bound -= 0.05
         left = np.repeat(np.arange(len(first)), reach)
@@ -59,7 +83,7 @@ class ProductCode:
         found = left * len(second) + right
         if bound < self.bound:  # too few exceed the bound: the best ones
             total = first[left] + second[right]
-            found = found[np.argsort(-total, kind="stable")[:LEAST_FILTERS]]
+            found = found[np.argsort(-total, kind="stable")[: self.least]]
         return np.sort(found)
 
 
@@ -80,15 +104,17 @@ def _clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                                pa.array(vectors, pa.binary())], names=["vec_id", "label", "size", "unit"])
 
 
-def _decode(words: int):
+@lru_cache(maxsize=64)
+def _code(dimensions: int, words: int, least: float) -> ProductCode:
+    return ProductCode(dimensions, words, least)
+
+
+def _decode(words: int, least: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes: dict[int, ProductCode] = {}
         for batch in batches:
             lists = []
             for size, unit in zip(batch.column("size").to_pylist(), batch.column("unit").to_pylist()):
-                if size not in codes:
-                    codes[size] = ProductCode(size, words)
-                lists.append(codes[size].filters(np.frombuffer(unit)).tolist())
+                lists.append(_code(size, words, least).filters(np.frombuffer(unit)).tolist())
             yield pa.record_batch([batch.column("node"), pa.array(lists, pa.list_(pa.int64()))], names=["node", "filters"])
 
     return run
@@ -173,7 +199,7 @@ def near_vectors(vectors: DataFrame, least: float = 0.93) -> DataFrame:
     total = nodes.count()
     words = next((w for w in (16, 32, 64) if w**BLOCKS >= total), 128)
 
-    decoded = scratch.keep(nodes.mapInArrow(_decode(words), "node long, filters array<long>"))
+    decoded = scratch.keep(nodes.mapInArrow(_decode(words, least), "node long, filters array<long>"))
     placed = decoded.join(nodes.select("node", "label", "size"), "node").select(
         "node", "label", "size", F.explode("filters").alias("filter"))
     sizes = placed.groupBy("label", "size", "filter").count().filter("count > 1").withColumn(

@@ -386,6 +386,17 @@ def test_recall_of_the_filters():
         assert missed <= 15
 
 
+@pytest.mark.parametrize(("dimensions", "count"), [(64, 16), (64, 32), (64, 64), (64, 128), (16, 16), (16, 64), (4, 16)])
+def test_recall_does_not_fall_with_the_code_size(dimensions, count):
+    rng, missed = np.random.default_rng(11), 0
+    code = cap_filters.ProductCode(dimensions, count)
+    for _ in range(500):
+        a, b = np.linalg.qr(rng.standard_normal((dimensions, 2)))[0].T
+        near = 0.93 * a + (1 - 0.93**2) ** 0.5 * b
+        missed += not set(code.filters(a).tolist()) & set(code.filters(near).tolist())
+    assert missed <= 8
+
+
 def test_licences(spark, empty):
     model = licences.fit_licences(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"))
     lines = {1: "Text.\nReleased under the MIT License.\nmore", 2: "Licensed under the Apache License, Version 2.0.", 3: "The driver renewed a licence to trade fish.",
