@@ -346,6 +346,29 @@ def test_personal_data(spark, empty):
     assert pii.fit_spans(empty).thresholds == {} and pii.find_personal_data(empty, pii.SpanModel()).count() == 0
 
 
+def test_written_out_addresses_are_found_however_many_there_are(spark):
+    rng = random.Random(12)
+    name = lambda: "".join(rng.choice("abcdefghijklmnoprstuvw") for _ in range(rng.randint(4, 9)))
+    forms = ["{} at {} dot com", "{} [at] {}.org", "{}(AT){} dot net"]
+    rows = [(i, f"The {name()} {name()} of {name()}, {name()}@{name()}.com, {name()} {name()}") for i in range(40)]
+    planted = {}
+    for i in range(100, 700):
+        address = forms[i % 3].format(name(), name())
+        planted[i] = (f"The {name()} {name()} and {name()}: ", address, f", {name()} {name()}")
+    rows += [(i, "".join(parts)) for i, parts in planted.items()]
+    rows += [(i, f"They {name()} and looked at {name()}.{name()} {name()}") for i in range(1000, 1200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r["doc_id"]: r["spans"] for r in pii.find_personal_data(docs, pii.fit_spans(docs)).collect()}
+    right = sum(found[i] == f"email:{len(a)}:{len(a) + len(b)}" for i, (a, b, _) in planted.items())
+    assert right >= 0.95 * len(planted)
+    assert sum(bool(found[i]) for i in range(1000, 1200)) <= 4
+
+
+def test_a_threshold_counts_all_rows_of_its_score():
+    assert pii._threshold([(0.9, 1), (0.8, 1), (0.8, 0)]) == 0.9
+    assert pii._threshold([(0.8, 1), (0.8, 0)]) is None and pii._threshold([]) is None
+
+
 def test_near_vectors(spark):
     rng = np.random.default_rng(7)
     rows, base = [], rng.standard_normal((60, 16))
