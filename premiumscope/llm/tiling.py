@@ -65,48 +65,45 @@ def tiles(a: list[int], b: list[int], least: int = SEED_WORDS) -> list[tuple[int
     return found
 
 
-class Part:
-    """Seeds of some benchmark items."""
-
-    def __init__(self, items: list[tuple[int, str]]):
-        texts = pa.array([t for _, t in items], pa.string())
-        words = Words(texts, lower=True, separators=True)
-        hashes = words.hashes()
-        grams = gram_hashes(hashes, SEED_WORDS)
-        self.ids = [i for i, _ in items]
-        self.words = [hashes[words.first[k] : words.first[k + 1]] for k in range(len(items))]
-        seeds, owners = [], []
-        for k in range(len(items)):
-            start, stop = gram_range(words.first, k, SEED_WORDS)
-            seeds.append(grams[start:stop])
-            owners.append(np.full(stop - start, k))
-        seed, owner = np.concatenate(seeds), np.concatenate(owners)
-        order = np.argsort(seed, kind="stable")
-        self.seeds, self.owners = seed[order], owner[order]
+def seeds_of(items: list[tuple[int, str]]) -> tuple[list, list[np.ndarray], np.ndarray, np.ndarray]:
+    """Ids and words of some benchmark items, and their seeds in order with the item of each: plain arrays, since a
+    broadcast travels to executors that need no copy of this package."""
+    texts = pa.array([t for _, t in items], pa.string())
+    words = Words(texts, lower=True, separators=True)
+    hashes = words.hashes()
+    grams = gram_hashes(hashes, SEED_WORDS)
+    seeds, owners = [], []
+    for k in range(len(items)):
+        start, stop = gram_range(words.first, k, SEED_WORDS)
+        seeds.append(grams[start:stop])
+        owners.append(np.full(stop - start, k))
+    seed, owner = np.concatenate(seeds), np.concatenate(owners)
+    order = np.argsort(seed, kind="stable")
+    return [i for i, _ in items], [hashes[a:b] for a, b in zip(words.first, words.first[1:])], seed[order], owner[order]
 
 
 def _search(shared, coverage: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part: Part = shared.value
+        ids, item_words, seeds, owners = shared.value
         for batch in text_slices(batches):
             rows: list[tuple] = []
-            if len(part.seeds):
+            if len(seeds):
                 words = Words(batch.column("text"), lower=True, separators=True)
                 hashes = words.hashes()
                 grams = gram_hashes(hashes, SEED_WORDS)
-                spot = np.minimum(np.searchsorted(part.seeds, grams), len(part.seeds) - 1)
-                hit = part.seeds[spot] == grams
+                spot = np.minimum(np.searchsorted(seeds, grams), len(seeds) - 1)
+                hit = seeds[spot] == grams
                 docs = batch.column("doc_id").to_pylist()
                 hits = np.flatnonzero(hit)
                 touched = np.unique(np.searchsorted(words.first, hits, side="right") - 1)
                 for i in touched.tolist():
                     start, stop = gram_range(words.first, i, SEED_WORDS)
                     own = np.flatnonzero(hit[start:stop])
-                    low = np.searchsorted(part.seeds, grams[start + own], side="left")
-                    high = np.searchsorted(part.seeds, grams[start + own], side="right")
+                    low = np.searchsorted(seeds, grams[start + own], side="left")
+                    high = np.searchsorted(seeds, grams[start + own], side="right")
                     places: dict[int, list[int]] = {}
                     for at, x, y in zip(own.tolist(), low.tolist(), high.tolist()):
-                        for k in set(part.owners[x:y].tolist()):
+                        for k in set(owners[x:y].tolist()):
                             places.setdefault(k, []).append(at)
                     for k, seen in places.items():
                         # Only words under a common seed can be in a tile; a gap is one word that equals no other.
@@ -119,15 +116,15 @@ def _search(shared, coverage: float):
                                 origin.append(-1)
                             text.append(h)
                             origin.append(c)
-                        found = tiles(text, part.words[k].tolist())
+                        found = tiles(text, item_words[k].tolist())
                         covered = sum(n for _, _, n in found)
-                        share = covered / len(part.words[k])
+                        share = covered / len(item_words[k])
                         if share >= coverage:
                             spans = [(origin[x], origin[x] + n) for x, _, n in sorted(found)]
                             first = words.first[i]
                             chars = [(int(words.starts[first + x] - words.offsets[i]), int(words.ends[first + y - 1] - words.offsets[i]))
                                      for x, y in spans]
-                            rows.append((docs[i], part.ids[k], covered, share, len(found), [v for c in chars for v in c]))
+                            rows.append((docs[i], ids[k], covered, share, len(found), [v for c in chars for v in c]))
             columns = list(zip(*rows)) or [()] * 6
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.list_(pa.int64())]
             yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, kinds)], names=SCHEMA.fieldNames())
@@ -160,7 +157,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERA
     for number in range(parts):
         own = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == number)
         rows = [(r["item_id"], r["text"]) for r in own.orderBy("item_id", "text").collect()]
-        shared = docs.sparkSession.sparkContext.broadcast(Part(rows or [(0, "")]))
+        shared = docs.sparkSession.sparkContext.broadcast(seeds_of(rows or [(0, "")]))
         found = texts.mapInArrow(_search(shared, coverage), SCHEMA)
         result = found if result is None else result.union(found)
     return result
