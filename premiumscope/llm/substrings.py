@@ -67,19 +67,19 @@ def _settle(key: np.ndarray, *order: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def _seeds(width: int):
-    schema = pa.schema([("key", pa.int64()), ("anchor", pa.int64()), ("doc", pa.int64()), ("sure", pa.bool_())])
+    schema = pa.schema([("key", pa.int64()), ("anchor", pa.int64()), ("doc", pa.int64()), ("print", pa.int64()), ("sure", pa.bool_())])
 
-    def settled(chunk: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
-        anchor, doc = (np.concatenate(c) for c in zip(*chunk))
-        rows, first = _settle(anchor, doc)
-        anchor, doc = anchor[rows], doc[rows]
+    def settled(chunk: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        anchor, doc, text = (np.concatenate(c) for c in zip(*chunk))
+        rows, first = _settle(anchor, doc, text)
+        anchor, doc, text = anchor[rows], doc[rows], text[rows]
         again = ~first
         again[:-1] |= ~first[1:]  # the first of several is repeated too
-        key = np.where(first, anchor, doc ^ np.int64(0x5DEECE66D))
+        key = np.where(first, anchor, doc ^ text ^ np.int64(0x5DEECE66D))
         distinct = np.ones(len(rows), dtype=bool)
-        distinct[1:] = first[1:] | (doc[1:] != doc[:-1])
-        parts = [pa.array(key[distinct]), pa.array(anchor[distinct]), pa.array(doc[distinct]), pa.array(again[distinct])]
-        return pa.record_batch(parts, schema=schema)
+        distinct[1:] = first[1:] | (doc[1:] != doc[:-1]) | (text[1:] != text[:-1])
+        parts = [key[distinct], anchor[distinct], doc[distinct], text[distinct], again[distinct]]
+        return pa.record_batch([pa.array(part) for part in parts], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chunk, held = [], 0
@@ -97,7 +97,7 @@ def _seeds(width: int):
             edge = np.zeros(size - 1, dtype=np.uint64)
             place = np.flatnonzero((_slide(np.concatenate((edge, inside, edge)), size, np.maximum) == runs) & (runs > 0))
             owner = np.searchsorted(words.first, place, side="right") - 1
-            chunk.append((runs[place].view(np.int64), _ids(batch)[owner]))
+            chunk.append((runs[place].view(np.int64), _ids(batch)[owner], batch.column("print").to_numpy()[owner]))
             held += len(place)
             if held >= CHUNK:
                 yield settled(chunk)
@@ -109,17 +109,17 @@ def _seeds(width: int):
 
 
 def _windows(width: int):
-    schema = pa.schema([("key", pa.int64()), ("doc", pa.int64()), ("start", pa.int32()), ("sure", pa.bool_())])
+    schema = pa.schema([("key", pa.int64()), ("doc", pa.int64()), ("print", pa.int64()), ("start", pa.int32()), ("sure", pa.bool_())])
 
-    def settled(chunk: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
-        window, doc, start = (np.concatenate(c) for c in zip(*chunk))
+    def settled(chunk: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+        window, doc, text, start = (np.concatenate(c) for c in zip(*chunk))
         rows, first = _settle(window, doc, start)
-        window, doc, start = window[rows], doc[rows], start[rows]
+        window, doc, text, start = window[rows], doc[rows], text[rows], start[rows]
         # Rows of one id at one place (a repeated row) are no earlier than each other.
         group = np.flatnonzero(first)[np.cumsum(first) - 1]
         later = (doc != doc[group]) | (start != start[group])
-        key = np.where(later, doc ^ np.int64(0x5DEECE66D), window)
-        return pa.record_batch([pa.array(key), pa.array(doc), pa.array(start.astype(np.int32)), pa.array(later)], schema=schema)
+        key = np.where(later, doc ^ text ^ np.int64(0x5DEECE66D), window)
+        return pa.record_batch([pa.array(part) for part in (key, doc, text, start.astype(np.int32), later)], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chunk, held = [], 0
@@ -137,7 +137,7 @@ def _windows(width: int):
                 wanted[own] = np.isin(anchor[own], anchors.values.to_numpy())
             window = gram_hashes(hashes, width)[starts[wanted]].view(np.int64)
             place = (starts - words.first[:-1][text])[wanted]
-            chunk.append((window, _ids(batch)[text[wanted]], place))
+            chunk.append((window, _ids(batch)[text[wanted]], batch.column("print").to_numpy()[text[wanted]], place))
             held += len(window)
             if held >= CHUNK:
                 yield settled(chunk)
@@ -186,26 +186,29 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, with_text: bool = False)
 
     A null text has no words. Rows without id count as one document after all others; rows that repeat an id count
     as one document, and equal windows at the same place of it are not earlier than each other, so a repeated row
-    changes nothing. Other columns are not looked at; an empty table gives an empty result. Windows are compared by
-    64-bit fingerprints of their words.
+    changes nothing. What is removed is settled for each row by its own text: rows of one id, or without id, that hold
+    different texts lose only words of their own repeated windows. Other columns are not looked at; an empty table
+    gives an empty result. Windows are compared by 64-bit fingerprints of their words, texts of one id by 64 bits.
     """
     scratch = Scratch(docs.sparkSession, "substrings")
     texts = documents_of(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long"))
+    texts = texts.withColumn("print", F.xxhash64("text"))
     last = F.coalesce("doc_id", F.lit(2**63 - 1)).alias("doc")
+    row = ["doc", "print"]
 
-    seeds = texts.mapInArrow(_seeds(width), "key long, anchor long, doc long, sure boolean")
+    seeds = texts.mapInArrow(_seeds(width), "key long, anchor long, doc long, print long, sure boolean")
     same = Window.partitionBy("key")
     seen = seeds.withColumn("times", F.count(F.when(~F.col("sure") | (F.col("key") == F.col("anchor")), True)).over(same))
-    again = seen.filter("sure OR times > 1").groupBy("doc").agg(F.collect_set("anchor").alias("anchors"))
+    again = seen.filter("sure OR times > 1").groupBy(*row).agg(F.collect_set("anchor").alias("anchors"))
     again = scratch.keep(again)
 
-    held = texts.select(last, "doc_id", "text").join(again, "doc").select("doc_id", "text", "anchors")
-    windows = held.mapInArrow(_windows(width), "key long, doc long, start int, sure boolean")
+    held = texts.select(last, "doc_id", "text", "print").join(again, row).select("doc_id", "text", "print", "anchors")
+    windows = held.mapInArrow(_windows(width), "key long, doc long, print long, start int, sure boolean")
     first = F.min(F.when(~F.col("sure"), F.struct("doc", "start"))).over(same)
     later = windows.withColumn("first", first).filter(F.col("sure") | (F.struct("doc", "start") > F.col("first")))
-    later = scratch.keep(later.groupBy("doc").agg(F.collect_set("start").alias("starts")))
+    later = scratch.keep(later.groupBy(*row).agg(F.collect_set("start").alias("starts")))
 
-    marked = texts.select(last, "doc_id", "text").join(later, "doc", "left").select("doc_id", "text", "starts")
+    marked = texts.select(last, "doc_id", "text", "print").join(later, row, "left").select("doc_id", "text", "starts")
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string"
     result = marked.mapInArrow(_cut(width, with_text), schema + (", kept string, spans array<long>" if with_text else ""))
     scratch.drop(again)
