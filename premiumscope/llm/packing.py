@@ -10,6 +10,7 @@ is shuffled: blocks are local, and their number of rows bounds memory.
 from __future__ import annotations
 
 import heapq
+import math
 import zlib
 from collections.abc import Iterator
 
@@ -34,38 +35,67 @@ def _id_bytes(ids: list[int]) -> bytes:
     return np.array(ids, dtype="<u4").tobytes()
 
 
+class _Sequences:
+    """Sequences by load, with the cheapest of every range of loads in a tree of minima."""
+
+    def __init__(self, count: int, capacity: int):
+        self.size = 1 << (capacity + 1).bit_length()
+        self.by_load: list[list[tuple[float, int]]] = [[] for _ in range(capacity + 1)]
+        self.least = [(math.inf, -1, -1)] * (2 * self.size)
+        self.by_load[0] = [(0.0, k) for k in range(count)]
+        self._settle(0)
+
+    def _settle(self, load: int) -> None:
+        own = self.by_load[load]
+        at = self.size + load
+        self.least[at] = (*own[0], load) if own else (math.inf, -1, -1)
+        while at > 1:
+            at >>= 1
+            self.least[at] = min(self.least[2 * at], self.least[2 * at + 1])
+
+    def take(self, most: int) -> tuple[float, int, int] | None:
+        """The cheapest sequence of a load of at most ``most`` (cost, number, load), taken out."""
+        low, high, best = self.size, self.size + most + 1, (math.inf, -1, -1)
+        while low < high:
+            if low & 1:
+                best = min(best, self.least[low])
+                low += 1
+            if high & 1:
+                high -= 1
+                best = min(best, self.least[high])
+            low, high = low >> 1, high >> 1
+        if best[1] < 0:
+            return None
+        heapq.heappop(self.by_load[best[2]])
+        self._settle(best[2])
+        return best
+
+    def put(self, cost: float, number: int, load: int) -> None:
+        heapq.heappush(self.by_load[load], (cost, number))
+        self._settle(load)
+
+
 def pack_lengths(lengths: list[int], capacity: int, quadratic: float) -> list[list[tuple[int, int, int, int]]]:
     """Pieces (item, start, length, offset) per sequence for items shorter than ``capacity``.
 
-    The number of sequences is the least that can hold all tokens. A heap holds the sequences by cost; those
-    without room for the document at hand are put back, and one that is full leaves.
+    The number of sequences is the least that can hold all tokens. Items go in descending order to the cheapest of all
+    sequences that have room for them whole (ties to the first); only what none has room for is cut.
     """
     count = -(-sum(lengths) // capacity)
     sequences: list[list] = [[] for _ in range(count)]
     used = [0] * count
-    cheapest = [(0.0, k) for k in range(count)]
+    open_ = _Sequences(count, capacity)
     rest = []
     for item in sorted(range(len(lengths)), key=lambda i: (-lengths[i], i)):
         size = lengths[item]
-        put_back, place = [], None
-        # Documents come in descending order, so costs and loads rise together: the cheapest sequence is
-        # nearly always the emptiest, and few are put back.
-        while cheapest and place is None and len(put_back) < 8:
-            cost, k = heapq.heappop(cheapest)
-            if used[k] + size <= capacity:
-                place = (cost, k)
-            else:
-                put_back.append((cost, k))
-        for entry in put_back:
-            heapq.heappush(cheapest, entry)
+        place = open_.take(capacity - size)
         if place is None:
             rest.append(item)
             continue
-        cost, k = place
-        sequences[k].append((item, 0, size, used[k]))
-        used[k] += size
-        if used[k] < capacity:
-            heapq.heappush(cheapest, (cost + size + quadratic * size * size, k))
+        cost, k, load = place
+        sequences[k].append((item, 0, size, load))
+        used[k] = load + size
+        open_.put(cost + size + quadratic * size * size, k, used[k])
     room = sorted((k for k in range(count) if used[k] < capacity), key=lambda k: (capacity - used[k], k))
     for item in rest:
         start = 0
