@@ -31,6 +31,7 @@ BYTE_VALUES = _random.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) +
 GRAM_VALUES = _random.integers(1, 2**63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 # Spark removes a statement's shuffle files when it ends, not when the driver happens to collect garbage.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 BASE = 0x9E3779B97F4A7C13
 BASE_INVERSE = pow(BASE, -1, 1 << 64)
 
@@ -69,6 +70,12 @@ class Scratch:
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Rows of text or of whole sets are long: fewer of them in an Arrow batch, unless the session says how many."""
+    if spark.conf.get(ARROW_ROWS, None) is None:
+        spark.conf.set(ARROW_ROWS, "1000")
+
+
 def documents_of(df: DataFrame, *columns: str) -> DataFrame:
     """Only the named columns: other columns of the input, whatever their names, never meet ours."""
     return df.select(*[F.col(f"`{name}`") for name in columns])

@@ -30,6 +30,7 @@ from premiumscope.llm.common import (
     gram_hashes,
     gram_range,
     mix,
+    small_batches,
     text_slices,
 )
 from premiumscope.llm.components import components
@@ -37,7 +38,7 @@ from premiumscope.llm.components import components
 N, SIMILARITY = 5, Fraction(3, 4)
 # N-grams seen in more than this share of the documents are ordered last, the most frequent COMMON_MOST of them
 # (8 bytes each are sent to the tasks). Any order gives the same links; this one keeps posting lists short.
-COMMON_SHARE, COMMON_LEAST, COMMON_MOST, CHUNK_TOKENS = 1 / 20_000, 2, 1_000_000, 6_000_000
+COMMON_SHARE, COMMON_LEAST, COMMON_MOST, CHUNK_TOKENS = 1 / 20_000, 2, 1_000_000, 2_000_000
 # Set elements in one block of a comparison: memory of a task.
 BLOCK_TOKENS = 1_000_000
 SALTS, SPARE = 64, 3
@@ -83,8 +84,8 @@ def _names(flat: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 
 
 def _signatures(n: int):
-    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("node", pa.int64()), ("check", pa.int64()),
-                        ("token", pa.int64()), ("seen", pa.int64())])
+    schema = pa.schema([("doc_id", pa.int64()), ("print", pa.int64()), ("n", pa.int64()), ("node", pa.int64()),
+                        ("check", pa.int64()), ("token", pa.int64()), ("seen", pa.int64())])
 
     def common(tokens: np.ndarray, docs: int) -> pa.RecordBatch:
         tokens.sort()  # in place: the chunk is the largest thing a task holds
@@ -95,7 +96,7 @@ def _signatures(n: int):
         kept = seen >= max(COMMON_LEAST, docs * COMMON_SHARE)
         tokens, seen = tokens[begins[kept]].view(np.int64), seen[kept]
         blank = pa.nulls(len(tokens), pa.int64())
-        return pa.record_batch([blank, blank, blank, blank, pa.array(tokens), pa.array(seen)], schema=schema)
+        return pa.record_batch([blank, blank, blank, blank, blank, pa.array(tokens), pa.array(seen)], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chunk, docs, held = np.empty(CHUNK_TOKENS, dtype=np.uint64), 0, 0
@@ -104,7 +105,8 @@ def _signatures(n: int):
             node, check = _names(flat, sizes)
             blank = pa.nulls(len(sizes), pa.int64())
             yield pa.record_batch(
-                [batch.column("doc_id"), pa.array(sizes), pa.array(node), pa.array(check), blank, blank], schema=schema)
+                [batch.column("doc_id"), batch.column("print"), pa.array(sizes), pa.array(node), pa.array(check), blank, blank],
+                schema=schema)
             if held + len(flat) > CHUNK_TOKENS:
                 yield common(chunk[:held], docs)
                 docs, held = 0, 0
@@ -293,7 +295,8 @@ def _shared_least_within(t: Fraction, a: Column, low: Column, high: Column) -> C
 
 
 def ngram_join(docs: DataFrame, n: int = N, similarity: Fraction = SIMILARITY) -> DataFrame:
-    """One row per row of ``docs``: doc_id, n_shingles, node (name of the set), component_id.
+    """One row per row of ``docs``: doc_id, n_shingles, component_id, and to tell rows of one id apart ``print`` (hash
+    of the text), ``node`` (name of the set) and ``component`` (name of the group of linked sets, null without one).
 
     ``component_id`` is the smallest doc_id reachable over links of Jaccard similarity ``similarity`` or more.
     A null or wordless text has an empty set and is linked with nothing. A row without doc_id keeps its place
@@ -302,9 +305,10 @@ def ngram_join(docs: DataFrame, n: int = N, similarity: Fraction = SIMILARITY) -
     an empty result. N-grams are 64-bit fingerprints of the words.
     """
     scratch = Scratch(docs.sparkSession, "ngram-join")
+    small_batches(docs.sparkSession)
     texts = documents_of(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long"))
-    kind = "doc_id long, n long, node long, check long, token long, seen long"
-    signed = scratch.keep(texts.mapInArrow(_signatures(n), kind))
+    kind = "doc_id long, print long, n long, node long, check long, token long, seen long"
+    signed = scratch.keep(texts.withColumn("print", F.xxhash64("text")).mapInArrow(_signatures(n), kind))
     rows = signed.filter("node IS NOT NULL")
     sets_of = rows.filter("n > 0")
     total = rows.count()
@@ -391,9 +395,10 @@ def ngram_join(docs: DataFrame, n: int = N, similarity: Fraction = SIMILARITY) -
     labelled = firsts.join(joined, "node", "left").select("node", "doc_id", F.coalesce("component", "node").alias("component"))
     labelled = scratch.keep(labelled)
     lowest = labelled.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    by_node = scratch.keep(labelled.join(lowest, "component").select("node", "component_id"))
+    by_node = scratch.keep(labelled.join(lowest, "component").select("node", "component", "component_id"))
     scratch.drop(own, held_all, stars, merged, placed, pairs, links, labelled)
     result = rows.join(by_node, "node", "left").withColumn("linked", F.col("n") > 0)
     return result.select(
-        "doc_id", F.col("n").alias("n_shingles"), "node",
-        F.when(F.col("linked"), F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+        "doc_id", F.col("n").alias("n_shingles"),
+        F.when(F.col("linked"), F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"),
+        "print", "node", F.when(F.col("linked"), F.col("component")).alias("component"))
