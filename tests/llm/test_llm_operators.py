@@ -3,8 +3,11 @@
 import collections
 import hashlib
 import math
+import os
 import random
 import re
+import subprocess
+import sys
 import zlib
 from fractions import Fraction
 
@@ -213,6 +216,28 @@ def test_packing_leaves_room_in_one_sequence_only():
     assert packing.pack_lengths([], 1024, packing.QUADRATIC) == []
 
 
+@pytest.mark.parametrize("seed", range(6))
+def test_packing_takes_the_cheapest_sequence_with_room(seed):
+    """Against a search of all sequences for each document."""
+    rng = random.Random(seed)
+    lengths = [rng.choice([rng.randint(1, 1023), rng.randint(1, 60)]) for _ in range(300)]
+    count = -(-sum(lengths) // 1024)
+    used, costs, cut, expected = [0] * count, [0.0] * count, set(), {}
+    for i in sorted(range(len(lengths)), key=lambda i: (-lengths[i], i)):
+        fits = [k for k in range(count) if used[k] + lengths[i] <= 1024]
+        if not fits:
+            cut.add(i)
+            continue
+        k = min(fits, key=lambda k: (costs[k], k))
+        expected[i] = (k, used[k])
+        used[k] += lengths[i]
+        costs[k] += lengths[i] + packing.QUADRATIC * lengths[i] ** 2
+    packed = packing.pack_lengths(lengths, 1024, packing.QUADRATIC)
+    whole = {i: (k, offset) for k, s in enumerate(packed) for i, _, size, offset in s if size == lengths[i] and i not in cut}
+    assert whole == expected
+    assert {i for s in packed for i, _, _, _ in s} == set(range(len(lengths)))
+
+
 def test_tiles_catch_reordered_passages():
     item = list(range(40))
     assert sorted(tiling.tiles([*range(20, 40), -1, *range(20)], item)) == [(0, 20, 20), (21, 0, 20)]
@@ -457,10 +482,74 @@ def test_clashing_types_do_not_matter(spark):
     assert token_counts.token_counts(frame).first()["doc_id"] == 1
 
 
-def test_near_copy_stage_keeps_one_of_each_group_and_rows_without_id(spark):
+def test_near_copy_stage_decides_by_row(spark):
     text = "one two three four five six seven eight nine ten"
-    rows = [(3, text, "x", "s", 1), (2, text, "x", "s", 1), (5, "quite another text with more than five words", "x", "s", 1), (6, None, None, "s", 0),
-            (7, "", None, "s", 0), (None, text, "x", "s", 1)]
-    kept = corpus_pipeline.drop_near_copies(spark, spark.createDataFrame(rows, DOCS), "")
-    assert sorted((r["doc_id"] for r in kept.collect()), key=str) == [2, 5, 6, 7, None]
+    near = text + " eleven"
+    other = "quite another text with more than five words"
+    rows = [(3, text), (2, text), (5, other), (6, None), (7, ""), (None, text), (2, other), (9, near), (5, other), (8, other), (7, ""), (None, "no id but " + other), (None, "no id but " + other)]
+    docs = spark.createDataFrame([(d, t, "x", "s", len(t or "")) for d, t in rows], DOCS).repartition(3)
+    kept = corpus_pipeline.drop_near_copies(spark, docs, "")
+    assert kept.columns == docs.columns
+    # Of the ten words the smallest id stays, of the other text the smallest id (2, which also names a text of the first
+    # group); texts without words all stay, and of the copies without id that resemble nothing else one.
+    found = sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=str)
+    assert found == sorted([(2, text), (2, other), (6, None), (7, ""), (7, "")] + ([(None, "no id but " + other)] if not similar("no id but " + other, other) else []), key=str)
     assert corpus_pipeline.drop_near_copies(spark, spark.createDataFrame([], DOCS), "").count() == 0
+
+
+def similar(a, b):
+    a, b = shingles(a), shingles(b)
+    return 100 * len(a & b) >= 75 * len(a | b)
+
+
+def test_contaminated_rows_go_and_those_that_share_their_id_stay(spark, tmp_path):
+    leak = "alpha beta gamma delta epsilon zeta eta theta iota kappa"
+    spark.createDataFrame([(1, leak)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    rows = [(1, "x " + leak), (1, "a clean text that shares an id"), (None, leak), (None, "clean and without an id"), (4, None), (5, leak), (5, leak)]
+    docs = spark.createDataFrame([(d, t, "x", "s", 1) for d, t in rows], DOCS)
+    kept = corpus_pipeline.drop_contaminated(spark, docs, str(tmp_path)).collect()
+    assert sorted((str(r["text"]) for r in kept)) == ["None", "a clean text that shares an id", "clean and without an id"]
+
+
+def test_substrings_of_rows_that_share_an_id(spark):
+    rng = random.Random(9)
+    p, q, r = (" ".join(f"{k}{i}_{rng.randrange(10**6)}" for i in range(40)) for k in "pqr")
+    rows = [(1, p), (2, p), (2, q), (None, p), (None, r), (None, r + " " + q), (3, q)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    found = sorted((str(x["doc_id"]), x["kept"], x["n_removed"]) for x in substrings.remove_repeats(docs, with_text=True).collect())
+    assert found == sorted([("1", p, 0), ("2", "", 40), ("2", q, 0), ("3", "", 40), ("None", "", 40), ("None", r, 0), ("None", r, 40)])
+
+
+ISOLATED = """
+import os, sys
+sys.path.insert(0, sys.argv[1])
+from pyspark.sql import SparkSession
+spark = (SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "2")
+         .config("spark.checkpoint.dir", sys.argv[2]).getOrCreate())
+def found(batches):
+    import importlib.util
+    import pyarrow as pa
+    for batch in batches:
+        yield pa.record_batch([pa.array([importlib.util.find_spec("premiumscope") is not None] * batch.num_rows)], names=["found"])
+assert not spark.range(1).mapInArrow(found, "found boolean").first()[0], "the worker can import the package"
+from premiumscope.llm.catalogue import REGISTRY
+from premiumscope.operators.joint import fit_joint
+for name in sys.argv[3].split(","):
+    print(name, REGISTRY[name][0](spark, "/root/testdata/sf0.001").count())
+rows = spark.range(50).selectExpr("CAST(id AS DOUBLE) AS x", "CAST(id + 1 AS DOUBLE) AS y", "array(id % 3) AS g")
+from premiumscope.operators.joint import Block
+print("joint", fit_joint(rows, ["x"], ["y"], [Block("g", 3)], max_epochs=2).score(rows, {"y": "p"}).filter("p > 0").count())
+"""
+
+
+def test_executors_need_no_copy_of_the_package(tmp_path):
+    """Tasks of a session that has the package on the driver's path alone."""
+    script = tmp_path / "run.py"
+    script.write_text(ISOLATED)
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    names = "op2_token_counts,op3_decontamination,op4_substring_dedup,op9_personal_data,op11_target_resampling,op12_lexical_search,op13_sentencepiece_codec"
+    clean = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run([sys.executable, str(script), root, str(tmp_path / "shared"), names], cwd=tmp_path, env=clean, capture_output=True, text=True, timeout=600)
+    assert done.returncode == 0, done.stderr[-3000:]
+    lines = dict(line.split() for line in done.stdout.splitlines() if line.startswith(("op", "joint")))
+    assert set(lines) == {*names.split(","), "joint"} and lines["joint"] == "50" and lines["op13_sentencepiece_codec"] == "200"
