@@ -12,7 +12,8 @@ from premiumscope.catalogue.sql import COMPONENTS, r, sql
 from premiumscope.functions.labels import tag_tokens
 from premiumscope.functions.numeric import col, total_of
 from premiumscope.operators import encode
-from premiumscope.operators.models import build_pipeline
+from premiumscope.operators.scale import materialise
+from premiumscope.operators.scaling import fit_scaling
 from premiumscope.operators.validate import training_frame
 from premiumscope.plans.build import encode_portfolio
 from premiumscope.spec import (
@@ -220,6 +221,29 @@ def dedupe_keep_first(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode.drop_duplicates_keep_first(rows, ["NroPoliza"])
 
 
+WIDE = """
+copied AS (
+  SELECT * FROM labelled UNION ALL SELECT * REPLACE ('copy-' || NroPoliza AS NroPoliza) FROM labelled WHERE antig % 2 = 0
+  UNION ALL SELECT * REPLACE ('again-' || NroPoliza AS NroPoliza) FROM labelled WHERE antig % 6 = 0
+)"""
+
+
+@query(
+    "D1_dedupe_wide",
+    sql("""SELECT * EXCLUDE (place) FROM (SELECT *, row_number() OVER (PARTITION BY COLUMNS(* EXCLUDE (NroPoliza)) ORDER BY NroPoliza) AS place
+           FROM copied) WHERE place = 1""".replace("COLUMNS(* EXCLUDE (NroPoliza))", ", ".join(
+        ["Accesorios", "antig", "TasaCasco", "FactorCasco", "SumaAsegurada", "ModoFacturacion", "Marca", "PrimaRC", "PrimaCasco",
+         "PrimaClausulaAjuste", "PrimaAccesorio", "Prima", "Pol6TTaCod", "CoberturaLabel"])), WIDE),
+)
+def dedupe_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every column compared, over rows of which half have one copy under another id and some have two."""
+    rows = v.labelled(spark, sf_dir)
+    for prefix, chosen in (("copy-", "antig % 2 = 0"), ("again-", "antig % 6 = 0")):
+        copies = v.labelled(spark, sf_dir).filter(chosen).withColumn("NroPoliza", F.concat(F.lit(prefix), "NroPoliza"))
+        rows = rows.unionByName(copies)
+    return encode.drop_duplicates_keep_first(rows, ["NroPoliza"])
+
+
 @query(
     "P18_build_metadata",
     sql("""SELECT 'Prima' AS target_column, count(*) AS row_count,
@@ -300,7 +324,7 @@ def ordinal_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "E5_large_dictionary",
-    sql("""SELECT NroPoliza, CAST(coalesce(d.code, -1) AS INTEGER) AS Accesorios FROM portfolio p LEFT JOIN (
+    sql("""SELECT NroPoliza, CAST(coalesce(d.code, -1) AS BIGINT) AS Accesorios FROM portfolio p LEFT JOIN (
              SELECT Accesorios, row_number() OVER (ORDER BY Accesorios) - 1 AS code
              FROM (SELECT DISTINCT Accesorios FROM portfolio WHERE Accesorios IS NOT NULL)) d USING (Accesorios)"""),
 )
@@ -324,36 +348,31 @@ def unused_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 
-def _scaled(spark: SparkSession, sf_dir: str, scaler: str, digits: int = 6) -> DataFrame:
-    df = v.numeric_clean(spark, sf_dir).select("NroPoliza", "SumaAsegurada", "antig", "PrimaRC")
-    stages = build_pipeline(["SumaAsegurada", "antig"], ["PrimaRC"], "random_forest", scaler).getStages()[:-1]
-    fitted = df
-    for stage in stages:
-        step = stage.fit(df if stage is stages[0] else fitted) if hasattr(stage, "fit") else stage
-        fitted = step.transform(fitted)
-    values = vector_to_array("_scaled")
-    return rounded(fitted.select("NroPoliza", values[0].alias("SumaAsegurada"), values[1].alias("antig")), digits)
+def _scaled(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
+    names = ["SumaAsegurada", "antig"]
+    df = materialise(v.numeric_clean(spark, sf_dir).select("NroPoliza", *names).withColumn("constant", F.lit(3.5)))
+    return rounded(fit_scaling(df, [*names, "constant"], kind).apply(df), 5)
 
 
-@query(
-    "E7_minmax_features",
-    sql(f"""SELECT NroPoliza, {r('(SumaAsegurada - min(SumaAsegurada) OVER ()) / (max(SumaAsegurada) OVER () - min(SumaAsegurada) OVER ())', 'SumaAsegurada')},
-                   {r('CAST(antig - min(antig) OVER () AS DOUBLE) / (max(antig) OVER () - min(antig) OVER ())', 'antig')} FROM numeric_clean"""),
-)
+def _scaled_sql(centre: str, spread: str) -> str:
+    columns = ", ".join(r(f"(CAST({c} AS DOUBLE) - {centre.format(c)}) / ({spread.format(c)})", c, 5) for c in ("SumaAsegurada", "antig"))
+    return sql(f"SELECT NroPoliza, {columns}, 0::DOUBLE AS constant FROM numeric_clean")
+
+
+@query("E7_minmax_features", _scaled_sql("min({0}) OVER ()", "max({0}) OVER () - min({0}) OVER ()"))
 def minmax_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _scaled(spark, sf_dir, "minmax")
 
 
-@query(
-    "E7_standard_features",
-    sql(f"""SELECT NroPoliza, {r('(SumaAsegurada - avg(SumaAsegurada) OVER ()) / stddev_samp(SumaAsegurada) OVER ()', 'SumaAsegurada', 4)},
-                   {r('(antig - avg(antig) OVER ()) / stddev_samp(antig) OVER ()', 'antig', 4)} FROM numeric_clean"""),
-)
+@query("E7_standard_features", _scaled_sql("avg({0}) OVER ()", "stddev_pop({0}) OVER ()"))
 def standard_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _scaled(spark, sf_dir, "standard", 4)
+    return _scaled(spark, sf_dir, "standard")
 
 
-@query("E7_robust_features")
+@query("E7_robust_features", _scaled_sql(
+    "(SELECT quantile_cont({0}, 0.5) FROM numeric_clean)",
+    "(SELECT quantile_cont({0}, 0.75) - quantile_cont({0}, 0.25) FROM numeric_clean)",
+))
 def robust_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _scaled(spark, sf_dir, "robust")
 
@@ -370,14 +389,48 @@ def encodings_beside_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wide.select("NroPoliza", total_of(flags).alias("tags"), "Prima")
 
 
+ENCODED = """
+marks AS (
+  SELECT DISTINCT NroPoliza, 'Accesorios_' || tag AS name FROM tokens
+  UNION ALL SELECT NroPoliza, 'TariffCoverage_' || Pol6TTaCod || '__' || CoberturaLabel FROM labelled
+),
+brands AS (SELECT Marca, dense_rank() OVER (ORDER BY Marca) - 1 AS code FROM (SELECT DISTINCT Marca FROM portfolio))"""
+
+
 @query(
     "P_encoded_dataset",
-    sql("""SELECT NroPoliza, Pol6TTaCod, CoberturaLabel, antig, TasaCasco, coalesce(FactorCasco, 0) AS FactorCasco,
-                  CAST(ModoFacturacion AS DOUBLE) AS ModoFacturacion, Prima FROM labelled"""),
+    sql("""SELECT NroPoliza, Pol6TTaCod, CoberturaLabel, antig, TasaCasco, coalesce(FactorCasco, 0) AS FactorCasco, SumaAsegurada,
+                  CAST(ModoFacturacion AS DOUBLE) AS ModoFacturacion, CAST(code AS INTEGER) AS Marca, PrimaRC, PrimaCasco,
+                  PrimaClausulaAjuste, PrimaAccesorio, Prima, h.hot
+           FROM labelled JOIN brands USING (Marca)
+           JOIN (SELECT NroPoliza, string_agg(name, '|' ORDER BY name) AS hot FROM marks GROUP BY NroPoliza) h USING (NroPoliza)""", TOKENS, ENCODED),
 )
 def encoded_dataset(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The whole encoder chain over all columns; rows are unique here, so none is dropped."""
+    """The whole encoder chain over all columns, with the 0/1 columns that are set listed by name; rows are unique here."""
     data = encode_portfolio(v.portfolio(spark, sf_dir)).data
-    return data.select(
-        "NroPoliza", "Pol6TTaCod", "CoberturaLabel", "antig", "TasaCasco", "FactorCasco", "ModoFacturacion", "Prima"
-    )
+    marks = [name for name in data.columns if name.startswith(("Accesorios_", "TariffCoverage_"))]
+    named = F.array(*[F.when(col(name) == 1, F.lit(name)) for name in marks])
+    hot = F.array_join(F.array_sort(F.array_compact(named)), "|").alias("hot")
+    return data.select(*[col(name) for name in data.columns if name not in set(marks)], hot)
+
+
+@query(
+    "E3_sparse",
+    sql("""SELECT NroPoliza, CAST((SELECT count(*) FROM tag_numbers) + (SELECT count(*) FROM pair_numbers) AS INTEGER) AS size,
+                  string_agg(CAST(n AS VARCHAR), ' ' ORDER BY n) AS positions FROM (
+             SELECT DISTINCT NroPoliza, n FROM tokens JOIN tag_numbers USING (tag)
+             UNION ALL SELECT NroPoliza, n + (SELECT count(*) FROM tag_numbers) FROM labelled
+             JOIN pair_numbers ON pair = Pol6TTaCod || '__' || CoberturaLabel) GROUP BY NroPoliza""",
+        TOKENS,
+        """tag_numbers AS (
+             SELECT tag, row_number() OVER (ORDER BY TRY_CAST(tag AS BIGINT) IS NULL, TRY_CAST(tag AS BIGINT), tag) - 1 AS n
+             FROM (SELECT DISTINCT tag FROM tokens)),
+           pair_numbers AS (SELECT pair, row_number() OVER (ORDER BY pair) - 1 AS n
+             FROM (SELECT DISTINCT Pol6TTaCod || '__' || CoberturaLabel AS pair FROM labelled))"""),
+)
+def sparse_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tags and pairs numbered by a distributed dictionary and held as one sparse vector per row."""
+    built = encode_portfolio(v.portfolio(spark, sf_dir), sparse=True).with_vectors("features")
+    values = vector_to_array("features")
+    places = F.transform(values, lambda x, i: F.when(x == 1, i.cast("string")))
+    return built.select("NroPoliza", F.size(values).alias("size"), F.array_join(F.array_compact(places), " ").alias("positions"))

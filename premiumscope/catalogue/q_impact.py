@@ -13,11 +13,10 @@ from premiumscope.catalogue.registry import query, rounded
 from premiumscope.catalogue.sql import COMPONENTS, r, sql
 from premiumscope.functions.numeric import col
 from premiumscope.operators import analytics, scenario
-from premiumscope.operators.models import ExpressionScorer, component_outputs, fit_spark_model, model_features
+from premiumscope.operators.models import PairMeanScorer, load_scorer, model_features, save_scorer
 from premiumscope.operators.predicate import portfolio_filter, select_rows
 from premiumscope.operators.scale import checkpoint_root
 from premiumscope.plans.counterfactual import run_scenario_from_paths
-from premiumscope.sources.writers import write_table
 
 BOTH = [f"{c}_{kind}" for c in (*COMPONENTS, "Prima") for kind in ("Baseline", "Counterfactual")]
 
@@ -83,20 +82,78 @@ def counterfactual_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(v.counterfactual(spark, sf_dir).select(*names))
 
 
-@query("C8_scenario_from_paths")
+PAIR_PRICED = ", ".join(
+    f"""CAST(sum(CAST({c} AS DECIMAL(20, 2))) AS DOUBLE) / count({c}) AS "{c}_Mean\"""" for c in COMPONENTS
+)
+PAIR_PREMIUMS = {
+    **{f"{c}_{kind}": f'm."{c}_Mean"' + (" * 1.1::DOUBLE" if (c, kind) == ("PrimaRC", "Counterfactual") else "")
+       for c in COMPONENTS for kind in ("Baseline", "Counterfactual")}
+}
+PAIR_TOTALS = {f"Prima_{kind}": " + ".join(PAIR_PREMIUMS[f"{c}_{kind}"] for c in COMPONENTS) for kind in ("Baseline", "Counterfactual")}
+
+
+@query(
+    "C8_scenario_from_paths",
+    sql(
+        f"""SELECT 'formula' AS kind, NroPoliza, {r('TasaCasco_Counterfactual', 'TasaCasco_Counterfactual')}, {", ".join(r(n, n, 4) for n in BOTH)}
+            FROM counterfactual WHERE TasaCasco >= 0.02
+            UNION ALL
+            SELECT 'pair means', NroPoliza, {r('TasaCasco_Counterfactual', 'TasaCasco_Counterfactual')},
+                   {", ".join(r({**PAIR_PREMIUMS, **PAIR_TOTALS}[n], n, 4) for n in BOTH)}
+            FROM selected JOIN (SELECT Pol6TTaCod, CoberturaLabel, {PAIR_PRICED} FROM clean GROUP BY ALL) m USING (Pol6TTaCod, CoberturaLabel)
+            WHERE TasaCasco >= 0.02""",
+    ),
+)
 def scenario_from_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Saved model, stored dataset and scenario file to a stored counterfactual table."""
+    """Saved scorers of two kinds, a stored dataset with NaN in it and a scenario file to stored tables."""
     root = f"{checkpoint_root(spark)}/catalogue/{uuid.uuid4().hex}"
-    rows = v.numeric_clean(spark, sf_dir)
-    features = ["SumaAsegurada", "TasaCasco", "FactorCasco", "antig"]
-    fit_spark_model(rows, features, COMPONENTS, "random_forest", params={"n_estimators": 3, "max_depth": 5}).save(f"{root}/model")
-    write_table(rows, f"{root}/clean.parquet")
-    spark.createDataFrame([(json.dumps(v.SCENARIO),)], "value string").coalesce(1).write.text(f"{root}/scenario")
+    rows = v.numeric_clean(spark, sf_dir).withColumn("unused", F.when(F.col("antig") > 3, F.lit(float("nan"))).otherwise(F.lit(1.0)))
+    rows.write.parquet(f"{root}/clean.parquet")
+    selection = {"all": [v.SCENARIO["selection"], {"field": "TasaCasco", "op": "gte", "value": 0.02}]}
+    text = json.dumps({**v.SCENARIO, "selection": selection})
+    spark.createDataFrame([(text,)], "value string").coalesce(1).write.text(f"{root}/scenario")
     config = {"component_target_columns": list(COMPONENTS), "target_column": "Prima"}
-    table = run_scenario_from_paths(
-        spark, f"{root}/model", f"{root}/clean.parquet", f"{root}/scenario", config, f"{root}/counterfactual.parquet"
-    )
-    return table.select("NroPoliza", "TasaCasco_Counterfactual", *BOTH)
+    scorers = {"formula": v.formula_scorer(), "pair means": PairMeanScorer(v.clean(spark, sf_dir), v.SPEC.strata, v.COMPONENTS, v.MONEY)}
+    tables = []
+    for kind, scorer in scorers.items():
+        model, output = f"{root}/{kind.replace(' ', '_')}", f"{root}/{kind.replace(' ', '_')}.parquet"
+        save_scorer(scorer, model)
+        table = run_scenario_from_paths(spark, model, f"{root}/clean.parquet", f"{root}/scenario", config, output)
+        tables.append(rounded(table.select(F.lit(kind).alias("kind"), "NroPoliza", "TasaCasco_Counterfactual", *BOTH), 4, TasaCasco_Counterfactual=6))
+    return tables[0].unionByName(tables[1])
+
+
+REFUSED_SCENARIOS = {
+    "no object": [],
+    "changes not a list": {"feature_changes": {}},
+    "adjustments not a list": {"prediction_adjustments": "x"},
+    "selection not an object": {"selection": []},
+    "unknown column": {"feature_changes": [{"field": "nope", "op": "set", "value": 1}]},
+    "unknown operation": {"feature_changes": [{"field": "TasaCasco", "op": "power", "value": 2}]},
+    "no number": {"feature_changes": [{"field": "TasaCasco", "op": "add", "value": "much"}]},
+    "unknown component": {"prediction_adjustments": [{"component": "PrimaZ", "op": "add", "value": 1}]},
+    "no rows": {"selection": {"field": "antig", "op": "gt", "value": 1e6}},
+    "negative premium": {"prediction_adjustments": [{"component": "PrimaRC", "op": "add", "value": -1e9}]},
+    "fine": {},
+}
+
+
+@query(
+    "C1_refused_scenarios",
+    "SELECT name, name <> 'fine' AS refused FROM (SELECT unnest([" + ", ".join(f"'{name}'" for name in REFUSED_SCENARIOS) + "]) AS name)",
+)
+def refused_scenarios(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which scenarios are turned down when they are run on the clean table."""
+    rows = v.numeric_clean(spark, sf_dir)
+
+    def refused(case: object) -> bool:
+        try:
+            scenario.counterfactual_table(v.formula_scorer(), rows, case, v.TOTAL, [*v.SPEC.targets, v.ID])
+        except ValueError:
+            return True
+        return False
+
+    return spark.createDataFrame([(name, refused(case)) for name, case in REFUSED_SCENARIOS.items()], "name string, refused boolean")
 
 
 # ---- impact analytics -------------------------------------------------------------------------------
@@ -199,7 +256,9 @@ def change_cdf(spark: SparkSession, sf_dir: str) -> DataFrame:
     sql("SELECT name, CAST(count(*) AS BIGINT) AS \"rows\" FROM (SELECT unnest(['SumaAsegurada', 'TasaCasco', 'FactorCasco', 'antig']) AS name FROM clean) GROUP BY name"),
 )
 def used_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a scorer reads, asked of it after it was saved and loaded."""
     rows = v.clean(spark, sf_dir)
-    scorer = ExpressionScorer(component_outputs([]), v.FORMULA_FEATURES)
-    names = F.array(*[F.lit(n) for n in model_features(scorer, rows.columns, [])])
+    path = f"{checkpoint_root(spark)}/catalogue/{uuid.uuid4().hex}/model"
+    save_scorer(v.formula_scorer(), path)
+    names = F.array(*[F.lit(n) for n in model_features(load_scorer(spark, path), rows.columns, [])])
     return rows.select(F.explode(names).alias("name")).groupBy("name").agg(F.count(F.lit(1)).alias("rows"))

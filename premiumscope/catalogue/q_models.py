@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,8 +22,10 @@ from premiumscope.operators.models import (
     scored_table,
     with_total,
 )
-from premiumscope.operators.scale import materialise
+from premiumscope.operators.scale import checkpoint_root, materialise
 from premiumscope.operators.split import FOLD
+from premiumscope.plans.train import train_from_path
+from premiumscope.sources import readers, writers
 from premiumscope.spec import PREDICTION, SPLIT
 
 FEATURES = ["SumaAsegurada", "TasaCasco", "FactorCasco", "antig"]
@@ -40,14 +44,14 @@ def pair_mean_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 LINES_SQL = ", ".join(
     f"{r(f'regr_slope({c}, SumaAsegurada)', f'{c} slope', 5)}, {r(f'regr_intercept({c}, SumaAsegurada)', f'{c} intercept', 3)}"
-    for c in ("PrimaRC", "PrimaCasco")
+    for c in COMPONENTS
 )
 
 
 @query("M4_pair_lines", sql(f"SELECT Pol6TTaCod, CoberturaLabel, {LINES_SQL} FROM clean GROUP BY ALL"))
 def fitted_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = pair_lines(v.clean(spark, sf_dir), v.SPEC.strata, ["PrimaRC", "PrimaCasco"], "SumaAsegurada")
-    digits = {"PrimaRC intercept": 3, "PrimaCasco intercept": 3}
+    lines = pair_lines(v.clean(spark, sf_dir), v.SPEC.strata, v.COMPONENTS, "SumaAsegurada")
+    digits = {f"{c} intercept": 3 for c in v.COMPONENTS}
     return rounded(lines, 5, **digits)
 
 
@@ -173,6 +177,56 @@ def smooth_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _family(spark, sf_dir, "tweedie", "standard", {"weight_decay": 0.01, "max_epochs": 15})
 
 
+@query("M3_joint_scores")
+def joint_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All components fitted together on the balanced error."""
+    return _family(spark, sf_dir, "joint", "robust", {"weight_decay": 1e-6, "max_epochs": 15, "final_weight": 0.5})
+
+
+RECORD_CONFIG = {
+    "target_column": "Prima", "component_target_columns": list(COMPONENTS), "identity_column": "NroPoliza",
+    "drop_columns": ["NroPoliza", "CoberturaLabel", "Pol6TTaCod"], "stratify_columns": ["Pol6TTaCod", "CoberturaLabel"],
+    "mape_group_columns": {"Cobertura": "CoberturaLabel", "Pol6TTaCod": "Pol6TTaCod"}, "test_size": 0.2, "random_state": 42,
+    "search": {"method": "grid"}, "cv": {"n_splits": 3, "n_jobs": 3},
+    "models": [
+        {"name": "Forest", "type": "random_forest", "fixed_params": {"n_estimators": 2}, "param_grid": {"max_depth": [3]}},
+        {"name": "Joint", "type": "joint", "scalers": ["standard"], "param_grid": {"max_epochs": [4]}},
+    ],
+}
+
+
+@query(
+    "M11_run_record",
+    sql("""SELECT 'target_column' AS item, 'Prima' AS value
+           UNION ALL SELECT 'random_state', '42' UNION ALL SELECT 'search_method', 'grid'
+           UNION ALL SELECT 'stratum_count', CAST((SELECT count(*) FROM strata) AS VARCHAR)
+           UNION ALL SELECT 'train_rows', CAST((SELECT count(*) FROM split WHERE "Dataset Split" = 'train') AS VARCHAR)
+           UNION ALL SELECT 'test_rows', CAST((SELECT count(*) FROM split WHERE "Dataset Split" = 'test') AS VARCHAR)
+           UNION ALL SELECT 'scored rows', CAST((SELECT count(*) FROM clean) AS VARCHAR)
+           UNION ALL SELECT 'metric rows', '10' UNION ALL SELECT 'trial rows', '2'
+           UNION ALL SELECT 'group rows', CAST(2 * ((SELECT count(DISTINCT Pol6TTaCod) FROM split WHERE "Dataset Split" = 'test')
+             + (SELECT count(DISTINCT CoberturaLabel) FROM split WHERE "Dataset Split" = 'test')) AS VARCHAR)"""),
+)
+def run_record(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A whole training run on the stored clean table, judged by what it wrote."""
+    root = f"{checkpoint_root(spark)}/catalogue/{uuid.uuid4().hex}"
+    columns = [v.ID, *v.SPEC.strata, *FEATURES, *v.COMPONENTS, v.TOTAL]
+    writers.write_table(v.numeric_clean(spark, sf_dir).select(*columns), f"{root}/clean.parquet")
+    run = train_from_path(f"{root}/clean.parquet", RECORD_CONFIG, spark, f"{root}/runs")
+    asked = ["target_column", "random_state", "search_method", "stratum_count", "train_rows", "test_rows"]
+    record = readers.read_metrics(spark, f"{root}/runs/summary").filter(col("item").isin(asked)).select("item", "value")
+    sizes = {
+        "scored rows": readers.read_table(spark, f"{root}/runs/{run.run_id}/scored_dataset.parquet"),
+        "metric rows": readers.read_metrics(spark, f"{root}/runs/metrics"),
+        "trial rows": readers.read_metrics(spark, f"{root}/runs/trials"),
+        "group rows": readers.read_metrics(spark, f"{root}/runs/grouped_mape"),
+    }
+    for item, table in sizes.items():
+        counted = table.agg(F.count(F.lit(1)).cast("string").alias("value")).withColumn("item", F.lit(item))
+        record = record.unionByName(counted)
+    return record
+
+
 SEARCH = {
     "random_state": 42,
     "cv": {"n_splits": 3, "n_jobs": 3},
@@ -196,7 +250,7 @@ def _search(spark: SparkSession, sf_dir: str, method: str) -> list[search.Search
         lambda d: v.encode.fill_features(d, v.SPEC.targets)
     )
     config = {**SEARCH, "search": {"method": method}}
-    _, results = search.search_models(training, FEATURES, ["PrimaRC", "PrimaAccesorio"], v.SPEC.strata, [v.ID], config)
+    _, results = search.search_models(training, FEATURES, v.COMPONENTS, v.SPEC.strata, [v.ID], config)
     return results
 
 

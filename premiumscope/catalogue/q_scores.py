@@ -11,7 +11,7 @@ from premiumscope.catalogue.sql import COMPONENTS, PREDICTIONS, r, sql
 from premiumscope.functions.numeric import col
 from premiumscope.operators import analytics, metrics
 from premiumscope.operators.models import holdout_scores
-from premiumscope.operators.scale import materialise
+from premiumscope.operators.scale import grouped_quantiles, materialise
 from premiumscope.operators.split import FOLD, plain_folds
 from premiumscope.spec import APE, PREDICTION
 
@@ -183,8 +183,9 @@ absolute_central AS (SELECT e.e AS m FROM errors e, absolute_view w WHERE e.e <=
 )
 def tail_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _stored_errors(spark, sf_dir, analytics.SIGNED)
-    view = analytics.central_view(rows, "_Metric", 99.5, symmetric=True)
-    return rounded(analytics.tail_summary(rows, "_Metric", True, view), 4)
+    ranks = analytics.ReportRanks(rows, "_Metric", 99.5, symmetric=True)
+    view = analytics.central_view(rows, "_Metric", 99.5, True, ranks)
+    return rounded(analytics.tail_summary(rows, "_Metric", True, view, ranks), 4)
 
 
 @query("A11_quantiles", sql(" UNION ALL ".join(f"SELECT {q}::DOUBLE AS q, {r(f'quantile_cont(e, {q})', 'value', 4)} FROM errors" for q in (0.0, 0.25, 0.5, 0.9, 0.95, 0.99, 1.0)), ERRORS))
@@ -197,13 +198,26 @@ def quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("A11_quantiles_by_brackets", sql(" UNION ALL ".join(f"SELECT {q}::DOUBLE AS q, {r(f'quantile_cont(e, {q})', 'value', 4)} FROM errors" for q in (0.25, 0.5, 0.99)), ERRORS))
 def quantiles_by_brackets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The path for columns too large to group on the driver."""
+    """The rounds that columns with more values than a slice take."""
     wanted = [0.25, 0.5, 0.99]
     rows = _stored_errors(spark, sf_dir, analytics.ABSOLUTE)
-    found = analytics.exact_quantiles(rows, "_Metric", wanted, collect_rows=2_000, accuracy=1_000)
+    found = analytics.exact_quantiles(rows, "_Metric", wanted, slice_rows=200, accuracy=1_000)
     return rounded(spark.createDataFrame(list(zip(wanted, found)), "q double, value double"), 4)
 
 
+@query(
+    "A11_quantiles_per_pair",
+    sql(f"""SELECT Pol6TTaCod, CoberturaLabel, {r('quantile_cont(e, 0.5)', 'median', 4)}, {r('quantile_cont(e, 0.9)', 'p90', 4)},
+                   {r('max(e)', 'maximum', 4)} FROM errors GROUP BY ALL""", ERRORS),
+)
+def quantiles_per_pair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All order statistics of all pairs in one search."""
+    rows = materialise(_error_rows(spark, sf_dir, analytics.ABSOLUTE).select("Pol6TTaCod", "CoberturaLabel", "_Metric"))
+    found = grouped_quantiles(rows, ["Pol6TTaCod", "CoberturaLabel"], "_Metric", [0.5, 0.9, 1.0])
+    values = {name: F.get("values", F.lit(i)) for i, name in enumerate(("median", "p90", "maximum"))}
+    return rounded(found.withColumns(values).drop("values"), 4)
+
+
 @query("A12_mean_median", sql(f"SELECT {r('avg(e)', 'mean', 4)}, {r('quantile_cont(e, 0.5)', 'median', 4)} FROM errors", ERRORS))
 def mean_median(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _stored_errors(spark, sf_dir, analytics.ABSOLUTE)

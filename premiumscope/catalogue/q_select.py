@@ -72,6 +72,9 @@ SELECTIONS: dict[str, tuple[dict[str, Any] | None, str]] = {
         {"field": FACTOR, "op": "between", "lower": 0.02, "upper": 0.06, "inclusive": "right"},
         "FactorCasco > 0.02::DOUBLE AND FactorCasco <= 0.06::DOUBLE",
     ),
+    "F8_equal_to_nothing": ({"field": FACTOR, "op": "eq", "value": None}, "false"),
+    "F8_differs_from_nothing": ({"field": FACTOR, "op": "ne", "value": None}, "true"),
+    "F8_not_below_nothing": ({"not": {"field": FACTOR, "op": "lt", "value": None}}, "true"),
     "F11_is_null": ({"field": FACTOR, "op": "is_null"}, "FactorCasco IS NULL"),
     "F11_not_null": ({"field": FACTOR, "op": "not_null"}, "FactorCasco IS NOT NULL"),
 }
@@ -125,3 +128,38 @@ def finite_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("F16_test_rows", sql("""SELECT NroPoliza, Prima FROM split WHERE "Dataset Split" = 'test'"""))
 def test_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predicate.by_split(v.split(spark, sf_dir), "test").select("NroPoliza", "Prima")
+
+
+REFUSED_SELECTIONS = {
+    "no object": [1],
+    "empty list": {"all": []},
+    "two joiners": {"all": [{"field": FACTOR, "op": "is_null"}], "any": [{"field": FACTOR, "op": "is_null"}]},
+    "not of a list": {"not": [{"field": FACTOR, "op": "is_null"}]},
+    "no such column": {"field": "nope", "op": "eq", "value": 1},
+    "no operation": {"field": FACTOR},
+    "no such operation": {"field": FACTOR, "op": "like", "value": 1},
+    "no list": {"field": FACTOR, "op": "in", "values": 1},
+    "half a range": {"field": FACTOR, "op": "between", "lower": 1},
+    "no such ends": {"field": FACTOR, "op": "between", "lower": 1, "upper": 2, "inclusive": "sides"},
+    "text against a number": {"field": "Marca", "op": "gt", "value": 1},
+    "deep inside": {"any": [{"field": FACTOR, "op": "is_null"}, {"not": {"all": [{"field": "antig", "op": "lt", "value": "a"}]}}]},
+    "fine": {"field": FACTOR, "op": "is_null"},
+}
+
+
+@query(
+    "F12_refused_selections",
+    sql("SELECT name, CASE WHEN name = 'fine' THEN (SELECT count(*) FROM portfolio WHERE FactorCasco IS NULL) END AS kept FROM (SELECT unnest(["
+        + ", ".join(f"'{name}'" for name in REFUSED_SELECTIONS) + "]) AS name)"),
+)
+def refused_selections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows each selection keeps of the portfolio; none is given for those that are turned down."""
+    df = v.portfolio(spark, sf_dir)
+
+    def kept(expression: Any) -> int | None:
+        try:
+            return predicate.select_rows(df, expression).count()
+        except ValueError:
+            return None
+
+    return spark.createDataFrame([(name, kept(case)) for name, case in REFUSED_SELECTIONS.items()], "name string, kept long")

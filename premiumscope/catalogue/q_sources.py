@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import operator
 import uuid
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from premiumscope.catalogue import views as v
@@ -12,8 +14,9 @@ from premiumscope.catalogue.registry import query, rounded
 from premiumscope.catalogue.sql import r, sql
 from premiumscope.functions.numeric import col
 from premiumscope.operators import analytics, encode, metrics
-from premiumscope.operators.models import SparkModelScorer, fit_spark_model
-from premiumscope.operators.scale import checkpoint_root
+from premiumscope.operators.joint import fit_joint
+from premiumscope.operators.models import PairLineScorer, PairMeanScorer, fit_spark_model, load_scorer, save_scorer
+from premiumscope.operators.scale import checkpoint_root, materialise
 from premiumscope.sources import readers, writers
 from premiumscope.spec import APE, encoding_columns
 
@@ -80,17 +83,18 @@ def scored_parquet(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "S6_sorted_by_error",
-    sql("""SELECT NroPoliza, "Dataset Split", row_number() OVER (ORDER BY "Absolute Percent Error" DESC NULLS LAST) > 0
-           AS in_order FROM scored"""),
+    sql("""SELECT NroPoliza, "Dataset Split", row_number() OVER (ORDER BY "Absolute Percent Error" DESC NULLS LAST, NroPoliza)
+           AS "Error rank", true AS in_order FROM scored"""),
 )
 def sorted_by_error(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The export is read back file by file: every row must not exceed the smallest error written before it."""
+    """The export is read back with the file of every row: places must rise from file to file."""
     path = writers.write_sorted_by_error(v.scored(spark, sf_dir), _path(spark, "scored_by_error"), "parquet")
-    back = spark.read.parquet(path).withColumn("_file", F.regexp_extract(F.input_file_name(), r"part-(\d+)", 1))
-    ends = back.groupBy("_file").agg(F.max(col(APE)).alias("_top"), F.min(col(APE)).alias("_bottom")).collect()
-    files = sorted((e for e in ends if e["_top"] is not None), key=lambda e: e["_file"])
-    ordered = all(a["_bottom"] >= b["_top"] for a, b in zip(files, files[1:]))
-    return back.select("NroPoliza", "Dataset Split", F.lit(ordered).alias("in_order"))
+    back = spark.read.parquet(path).withColumn("_file", F.regexp_extract(F.input_file_name(), r"part-(\d+)", 1).cast("int"))
+    rank = col(writers.ERROR_RANK)
+    ends = back.groupBy("_file").agg(F.min(rank).alias("first"), F.max(rank).alias("last"))
+    earlier = F.coalesce(F.max("last").over(Window.orderBy("_file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    checked = ends.select("_file", (F.col("first") > earlier).alias("in_order"))  # one row per file
+    return back.join(F.broadcast(checked), "_file").select("NroPoliza", "Dataset Split", rank.cast("long").alias(writers.ERROR_RANK), "in_order")
 
 
 METRIC_ROWS = """
@@ -114,9 +118,12 @@ def _test_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(table, 4, mse=2)
 
 
-@query("S7_metrics_log", sql(f"SELECT target, {METRIC_COLUMNS}, 'r1' AS run_id FROM metric_rows GROUP BY target", METRIC_ROWS))
+@query("S7_metrics_log", sql(f"SELECT * FROM (SELECT target, {METRIC_COLUMNS} FROM metric_rows GROUP BY target), (SELECT unnest(['r1', 'r2']) AS run_id)", METRIC_ROWS))
 def metrics_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = writers.write_metrics(_test_metrics(spark, sf_dir), _path(spark, "metrics"), "r1")
+    """Two runs are logged and the first of them once more: it is replaced, the other one stays."""
+    rows, path = _test_metrics(spark, sf_dir), _path(spark, "metrics")
+    for run_id in ("r1", "r2", "r1"):
+        writers.write_metrics(rows, path, run_id)
     return readers.read_metrics(spark, path)
 
 
@@ -149,17 +156,33 @@ def top_rows_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(back.select("NroPoliza", col("Deviation from mean").cast("double").alias("Deviation from mean")), 4)
 
 
-@query("S10_saved_model", sql("SELECT count(*) AS \"rows\", CAST(0 AS BIGINT) AS differing FROM clean"))
+FOREST_FEATURES = ["SumaAsegurada", "TasaCasco", "FactorCasco", "antig"]
+
+
+@query(
+    "S10_saved_model",
+    sql("""SELECT kind, (SELECT count(*) FROM clean) AS "rows", CAST(0 AS BIGINT) AS differing
+           FROM (SELECT unnest(['formula', 'joint', 'pair lines', 'pair means', 'pipeline']) AS kind)"""),
+)
 def saved_model(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A fitted model gives the same predictions after save and load."""
-    rows = v.numeric_clean(spark, sf_dir)
-    features = ["SumaAsegurada", "TasaCasco", "FactorCasco", "antig"]
-    model = fit_spark_model(rows, features, ["PrimaRC"], "random_forest", params={"n_estimators": 3, "max_depth": 4})
-    path = _path(spark, "model")
-    model.save(path)
-    first = model.score(rows, {"PrimaRC": "before"})
-    second = SparkModelScorer.load(spark, path).score(first, {"PrimaRC": "after"})
-    return second.agg(F.count(F.lit(1)).alias("rows"), F.count_if(col("before") != col("after")).alias("differing"))
+    """A scorer of every kind gives the same predictions of all components after it was saved and loaded."""
+    rows = materialise(v.numeric_clean(spark, sf_dir))
+    fitted = {
+        "formula": v.formula_scorer(),
+        "joint": fit_joint(rows, FOREST_FEATURES, v.COMPONENTS, max_epochs=3),
+        "pair lines": PairLineScorer(rows, v.SPEC.strata, v.COMPONENTS, "SumaAsegurada"),
+        "pair means": PairMeanScorer(rows, v.SPEC.strata, v.COMPONENTS, v.MONEY),
+        "pipeline": fit_spark_model(rows, FOREST_FEATURES, v.COMPONENTS, "random_forest", params={"n_estimators": 3, "max_depth": 4}),
+    }
+    tables = []
+    for kind, scorer in fitted.items():
+        path = _path(spark, "model")
+        save_scorer(scorer, path)
+        first = scorer.score(rows, {c: f"before_{i}" for i, c in enumerate(v.COMPONENTS)})
+        both = load_scorer(spark, path).score(first, {c: f"after_{i}" for i, c in enumerate(v.COMPONENTS)})
+        differs = reduce(operator.or_, [~col(f"before_{i}").eqNullSafe(col(f"after_{i}")) for i in range(len(v.COMPONENTS))])
+        tables.append(both.agg(F.count(F.lit(1)).alias("rows"), F.count_if(differs).alias("differing")).withColumn("kind", F.lit(kind)))
+    return reduce(DataFrame.unionByName, tables).select("kind", "rows", "differing")
 
 
 @query(

@@ -7,11 +7,13 @@ from pyspark.sql import functions as F
 
 from premiumscope.catalogue import views as v
 from premiumscope.catalogue.registry import query, rounded
+from premiumscope.catalogue.sql import FOLDS as FOLDS_SQL
+from premiumscope.catalogue.sql import SPLIT as SPLIT_SQL
 from premiumscope.catalogue.sql import r, sql
 from premiumscope.functions.labels import text_or_missing
 from premiumscope.functions.numeric import col
-from premiumscope.operators import validate
-from premiumscope.operators.scale import salted_join
+from premiumscope.operators import split, validate
+from premiumscope.operators.scale import spread_join
 from premiumscope.operators.split import (
     FOLD,
     joint_stratum,
@@ -101,7 +103,7 @@ def complementary_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("J1_salted_pair_counts", sql("SELECT NroPoliza, pair_count FROM counted"))
 def salted_pair_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The join used when a lookup is too large to broadcast: shuffled on (pair, salt)."""
+    """The join used when a lookup is too large to broadcast: heavy pairs are found and spread over salts."""
     rows = v.labelled(spark, sf_dir)
     valid = (
         validate.sum_consistent(v.COMPONENTS, v.TOTAL)
@@ -114,7 +116,7 @@ def salted_pair_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
         text_or_missing(col(v.SPEC.tariff)).alias("_tariff"),
         text_or_missing(col(v.SPEC.coverage)).alias("_coverage"),
     )
-    joined = salted_join(keyed, counts, ["_tariff", "_coverage"], salts=8)
+    joined = spread_join(keyed, counts, ["_tariff", "_coverage"], key_rows=500)
     return joined.select("NroPoliza", F.coalesce("_eligible", F.lit(0)).alias("pair_count"))
 
 
@@ -182,8 +184,8 @@ plain AS (
     sql("""SELECT NroPoliza, CASE WHEN r < ceil(n * 0.2::DOUBLE) THEN 'test' ELSE 'train' END AS "Dataset Split" FROM plain""", PLAIN),
 )
 def plain_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Unstratified: the one group holds every row, so this runs on the key-prefix path."""
-    return plain_holdout(v.portfolio(spark, sf_dir).select("NroPoliza"), ["NroPoliza"], direct_rows=0)
+    """Unstratified: the one group holds every row, so its cut is searched digit by digit."""
+    return plain_holdout(v.portfolio(spark, sf_dir).select("NroPoliza"), ["NroPoliza"], slice_rows=50)
 
 
 @query(
@@ -192,11 +194,52 @@ def plain_split(spark: SparkSession, sf_dir: str) -> DataFrame:
              ELSE n % 5 + (r - (n % 5) * (n // 5 + 1)) // (n // 5) END AS INTEGER) AS Fold FROM plain""", PLAIN),
 )
 def unstratified_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return plain_folds(v.portfolio(spark, sf_dir).select("NroPoliza"), ["NroPoliza"], 5, direct_rows=0)
+    return plain_folds(v.portfolio(spark, sf_dir).select("NroPoliza"), ["NroPoliza"], 5, slice_rows=50)
 
 
 @query("W2_large_stratum_split", sql('SELECT NroPoliza, "Dataset Split" FROM split'))
 def large_stratum_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stratified split on the path taken by strata too large to be ranked whole."""
     rows = v.clean(spark, sf_dir)
-    return stratified_holdout(rows, v.SPEC.strata, ["NroPoliza"], v.TEST_SIZE, v.SEED, direct_rows=0).select("NroPoliza", SPLIT)
+    return stratified_holdout(rows, v.SPEC.strata, ["NroPoliza"], v.TEST_SIZE, v.SEED, slice_rows=50).select("NroPoliza", SPLIT)
+
+
+REPEATED = """
+repeated AS (
+  SELECT split_part(NroPoliza, '-', 1) AS policy, * FROM clean
+  UNION ALL SELECT split_part(NroPoliza, '-', 1), * FROM clean WHERE antig % 2 = 0
+  UNION ALL SELECT split_part(NroPoliza, '-', 1), * FROM clean WHERE antig % 4 = 0
+),
+"""
+REPEATED_SPLIT = (
+    SPLIT_SQL.replace("FROM clean", "FROM repeated")
+    .replace("concat_ws('|', '42', NroPoliza)) AS key", "concat_ws('|', '42', policy)) || md5(NroPoliza) AS key")
+    .replace("keyed", "repeated_keyed").replace("strata", "repeated_strata").replace("sizes", "repeated_sizes")
+    .replace("shares", "repeated_shares").replace("quotas", "repeated_quotas").replace("split AS", "repeated_split AS")
+)
+REPEATED_FOLDS = (
+    FOLDS_SQL.replace("fold_strata", "repeated_fold_strata").replace("fold_ranks", "repeated_fold_ranks")
+    .replace("folded", "repeated_folded").replace("keyed", "repeated_keyed").replace("FROM strata", "FROM repeated_strata")
+)
+
+
+def _repeated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows with the order as their id, which several policies share, and with two to three equal copies of some."""
+    rows = v.clean(spark, sf_dir).withColumn("policy", F.split_part(col("NroPoliza"), F.lit("-"), F.lit(1)))
+    return rows.unionByName(rows.filter("antig % 2 = 0")).unionByName(rows.filter("antig % 4 = 0"))
+
+
+@query("K2_repeated_ids", sql('SELECT NroPoliza, "Dataset Split" FROM repeated_split', REPEATED.strip().rstrip(","), REPEATED_SPLIT))
+def repeated_ids_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of one id are ordered by a hash of the row, equal rows are counted off."""
+    rows = _repeated(spark, sf_dir)
+    return stratified_holdout(rows, v.SPEC.strata, ["policy"], v.TEST_SIZE, v.SEED, tie=["NroPoliza"]).select("NroPoliza", SPLIT)
+
+
+@query(
+    "K3_repeated_ids",
+    sql("SELECT NroPoliza, Fold FROM repeated_folded", REPEATED.strip().rstrip(","), REPEATED_SPLIT, REPEATED_FOLDS),
+)
+def repeated_ids_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _repeated(spark, sf_dir)
+    return split.stratified_folds(rows, v.SPEC.strata, ["policy"], v.FOLDS, v.SEED, tie=["NroPoliza"]).select("NroPoliza", FOLD)

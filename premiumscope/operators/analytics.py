@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from premiumscope.functions.numeric import EPS, col, dtype_of, is_finite, to_number
 from premiumscope.operators.metrics import absolute_percentage_error
 from premiumscope.operators.predicate import finite_rows
-from premiumscope.operators.scale import exact_quantiles, running_total
+from premiumscope.operators.scale import column_quantiles, exact_quantiles, running_total
 from premiumscope.spec import readable_columns
 
 ABSOLUTE, PERCENT, SIGNED = "Absolute error", "Absolute percent error", "Signed error"
@@ -29,7 +29,7 @@ def _number(df: DataFrame, name: str) -> Column:
 def error_rows(df: DataFrame, actual: str, predicted: str, mode: str = ABSOLUTE) -> DataFrame:
     """Add ``_Actual``, ``_Predicted``, ``_Metric`` and keep rows where all three are finite."""
     if mode not in ERROR_MODES:
-        raise ValueError(f"Unknown error measure {mode!r}; choose from {list(ERROR_MODES)}.")
+        raise ValueError(f"errors are measured as {', '.join(ERROR_MODES)}, not as {mode!r}")
     measured = df.withColumns({"_Actual": _number(df, actual), "_Predicted": _number(df, predicted)})
     signed = F.col("_Predicted") - F.col("_Actual")
     metric = {
@@ -134,15 +134,31 @@ def _close(a: float, b: float) -> bool:
     return abs(a - b) <= 1e-8 + 1e-5 * abs(b)
 
 
-def central_view(df: DataFrame, measure: str, percentile: float, symmetric: bool) -> CentralView:
-    """Symmetric: +-P(|v|). Otherwise: min .. P(v)."""
-    if symmetric:
-        magnitude = df.select(F.abs(col(measure)).alias("v"))
-        (cut,) = exact_quantiles(magnitude, "v", [percentile / 100])
-        lower = -cut
+class ReportRanks:
+    """Every order statistic a report shows, found in one search: of the measure (minimum, median, P90, P95) and of its
+    size (the view's percentile and the tails; the size of a signed measure is its magnitude)."""
+
+    def __init__(self, df: DataFrame, measure: str, percentile: float, symmetric: bool):
+        self.share, self.symmetric = percentile / 100, symmetric
+        shown, sizes = [0.0, 0.5, 0.90, 0.95], [self.share, *TAIL_PROBABILITIES]
+        rows = df.select(col(measure).alias("value"), F.abs(col(measure)).alias("size"))
+        wanted = {"value": shown, "size": sizes} if symmetric else {"value": [*shown, *sizes]}
+        found = column_quantiles(rows, wanted)
+        self.value = dict(zip(wanted["value"], found["value"]))
+        self.size = dict(zip(sizes, found["size"])) if symmetric else self.value
+
+
+def central_view(
+    df: DataFrame, measure: str, percentile: float, symmetric: bool, ranks: ReportRanks | None = None
+) -> CentralView:
+    """Bounds of the central share: up to the percentile, from its mirror image for a signed measure, else from the
+    minimum."""
+    if ranks is not None:
+        cut, lowest = ranks.size[ranks.share], ranks.value[0.0]
     else:
-        lower, cut = exact_quantiles(df, measure, [0.0, percentile / 100])
-    upper = cut
+        size = df.select((F.abs(col(measure)) if symmetric else col(measure)).alias("v"))
+        lowest, cut = exact_quantiles(size, "v", [0.0, percentile / 100])
+    lower, upper = (-cut if symmetric else lowest), cut
     if _close(lower, upper):
         padding = max(abs(lower) * 0.05, 1.0)
         lower, upper = lower - padding, upper + padding
@@ -153,11 +169,13 @@ def outside_view(df: DataFrame, measure: str, view: CentralView) -> DataFrame:
     return df.agg(F.count_if(~view.contains(col(measure))).alias("outside_view"))
 
 
-def tail_summary(df: DataFrame, measure: str, symmetric: bool, view: CentralView | None = None) -> DataFrame:
+def tail_summary(
+    df: DataFrame, measure: str, symmetric: bool, view: CentralView | None = None, ranks: ReportRanks | None = None
+) -> DataFrame:
     """P90, P95, P99 and maximum (of magnitudes if signed), and rows outside the view."""
     value = F.abs(col(measure)) if symmetric else col(measure)
     sized = df.select(value.alias("v"), col(measure).alias("m"))
-    p90, p95, p99 = exact_quantiles(sized, "v", TAIL_PROBABILITIES)
+    p90, p95, p99 = [ranks.size[q] for q in TAIL_PROBABILITIES] if ranks else exact_quantiles(sized, "v", TAIL_PROBABILITIES)
     outside = F.count_if(~view.contains(F.col("m"))) if view else F.lit(0).cast("long")
     return sized.agg(
         F.lit(p90).alias("p90"),
@@ -188,7 +206,7 @@ def histogram(df: DataFrame, measure: str, bins: int, lower: float, upper: float
     """Counts in ``bins`` equal-width bins between the bounds, empty bins included; the upper end belongs
     to the last bin. Rows outside the bounds are not counted."""
     if bins < 1 or not upper > lower:
-        raise ValueError("A histogram needs at least one bin and upper > lower.")
+        raise ValueError(f"{bins} bins from {lower} to {upper} make no histogram")
     value = col(measure)
     place = F.floor((value - F.lit(lower)) / F.lit(upper - lower) * F.lit(float(bins)))
     counts = (
@@ -207,9 +225,9 @@ def histogram(df: DataFrame, measure: str, bins: int, lower: float, upper: float
     )
 
 
-def histogram_references(df: DataFrame, measure: str, view: CentralView) -> DataFrame:
+def histogram_references(df: DataFrame, measure: str, view: CentralView, ranks: ReportRanks | None = None) -> DataFrame:
     """Mean and median, clipped into the view and flagged when they lie outside of it."""
-    (median,) = exact_quantiles(df, measure, [0.5])
+    median = ranks.value[0.5] if ranks else exact_quantiles(df, measure, [0.5])[0]
     wide = df.agg(F.avg(col(measure)).alias("mean"))
     rows = F.inline(
         F.array(
@@ -248,8 +266,8 @@ def empirical_cdf(df: DataFrame, measure: str, log_axis: bool = False) -> DataFr
     return curve
 
 
-def cdf_references(df: DataFrame, measure: str) -> DataFrame:
-    p90, p95 = exact_quantiles(df, measure, [0.90, 0.95])
+def cdf_references(df: DataFrame, measure: str, ranks: ReportRanks | None = None) -> DataFrame:
+    p90, p95 = [ranks.value[q] for q in (0.90, 0.95)] if ranks else exact_quantiles(df, measure, [0.90, 0.95])
     return df.sparkSession.createDataFrame([("P90", p90), ("P95", p95)], "label string, value double")
 
 

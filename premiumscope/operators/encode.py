@@ -3,16 +3,17 @@ projections, so the transform itself is one lazy ``select`` per step."""
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
+from collections.abc import Callable, Iterable, Sequence
 from dataclasses import dataclass, field
 
+from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from premiumscope.functions.labels import coverage_label, tag_order, tag_tokens, text_or_missing
 from premiumscope.functions.numeric import col, dtype_of, is_floating, is_text, to_number
-from premiumscope.operators.scale import attach, bounded_table, running_total
+from premiumscope.operators.scale import attach, attach_rows, bounded_table, materialise, row_width, running_total
 from premiumscope.spec import (
     COVERAGE_COLUMN,
     PAIR_PREFIX,
@@ -21,22 +22,34 @@ from premiumscope.spec import (
     TARIFF_COLUMN,
 )
 
-# One output column per vocabulary entry: the width a Spark plan is asked to carry.
+# One output column per vocabulary entry: the width a Spark plan is asked to carry. Beyond it entries are numbered.
 MAX_ENCODED_COLUMNS = 10_000
+TAG_POSITIONS, PAIR_POSITION = f"{TAGS_COLUMN}_positions", f"{PAIR_PREFIX}_positions"
+# Rows up to this many bytes are de-duplicated by their columns, wider ones by a fingerprint first.
+WIDE_BYTES = 100
 # Up to this many categories the codes are looked up in a literal array, beyond it by a join.
 INLINE_CATEGORIES = 256
 
 
+class TooManyEntries(ValueError):
+    """A vocabulary exceeds the columns a plan is asked to carry."""
+
+
 def _vocabulary(entries: DataFrame, what: str, limit: int) -> list[str]:
     table = bounded_table(entries.distinct(), limit)
     if table is None:
-        raise ValueError(
-            f"{what} has more than {limit} distinct entries, too many for one column each; "
-            "use the long form (tag_rows) instead."
-        )
+        raise TooManyEntries(f"{what} has more than {limit} distinct entries, too many for a column each; number them instead")
     return table.column(0).to_pylist()
 
 
+def try_vocabulary(fit: Callable[..., list[str]], *arguments) -> list[str] | None:
+    """What ``fit`` finds, or None if it is more than a column each can hold."""
+    try:
+        return fit(*arguments)
+    except TooManyEntries:
+        return None
+
+
 # ---- rows -------------------------------------------------------------------------------------------
 
 def drop_rows_without_targets(df: DataFrame, targets: Sequence[str]) -> DataFrame:
@@ -73,22 +86,38 @@ def drop_duplicates_keep_first(
     Only the identity is left out of the comparison. A column that carries nothing but an order (a line
     number) is named in ``helpers`` to be left out as well.
 
-    Written as a grouped minimum, not a window: copies collapse in the map-side combine, so a row repeated
-    by a third of the table still reaches the shuffle once per task. A leading 64-bit hash makes the sort
-    inside the aggregate cheap for wide keys.
+    Narrow rows are grouped by their columns, copies collapsing in the tasks. Wide rows take two phases. A 128-bit fingerprint of the compared columns is grouped first, with nothing beside it but the order:
+    copies collapse in the tasks, so a row that a third of the table repeats reaches the shuffle once per task. Rows
+    whose fingerprint occurs once stay where they are; only the others are compared whole, by hashing. Should two
+    different rows ever share a fingerprint, which the sizes of both results tell, the table is grouped by its columns.
     """
     ids = [name for name in identity if name in df.columns]
     order = list(order_by or ids)
     left_out = {*ids, *helpers}
     compared = [name for name in df.columns if name not in left_out]
-    first = F.min(F.struct(*[col(name) for name in dict.fromkeys([*order, *ids, *helpers])])).alias("_first")
+    carried = dict.fromkeys([*order, *ids, *helpers])
+    first = F.min(F.struct(F.lit(0).alias("_any"), *[col(name) for name in carried])).alias("_first")
     # Adding 0.0 gives -0.0 and 0.0 the same hash; grouping treats them as equal anyway.
     hashed = [col(c) + F.lit(0.0) if is_floating(dtype_of(df, c)) else col(c) for c in compared]
-    kept = df.groupBy(F.xxhash64(*hashed).alias("_hash"), *[col(c) for c in compared]).agg(first)
-    carried = {name for name in [*order, *ids] if name in left_out} | left_out
-    return kept.select(
-        *[F.col("_first").getField(name).alias(name) if name in carried else col(name) for name in df.columns]
-    )
+    if row_width(df.select(*[col(c) for c in compared])) <= WIDE_BYTES:
+        rows = df.groupBy(F.xxhash64(*hashed).alias("_hash"), *[col(c) for c in compared]).agg(first)
+        chosen = [F.col("_first").getField(name).alias(name) if name in left_out else col(name) for name in df.columns]
+        return rows.select(*chosen)
+    marks = {"_mark": F.xxhash64(F.lit(0), *hashed), "_mark2": F.xxhash64(*hashed, F.lit(1))}
+    marked = df.withColumns(marks)
+    repeated = marked.groupBy(*marks).agg(F.count(F.lit(1)).alias("_times"), first).filter("_times > 1")
+    repeated = materialise(repeated.drop("_times"))
+    groups = repeated.count()
+    if not groups:
+        return df
+    rows = attach_rows(marked, repeated, groups, list(marks))
+    copies = rows.filter("_first IS NOT NULL").groupBy(*marks, "_first", *[col(c) for c in compared]).agg(F.count(F.lit(1)).alias("_times"))
+    copies = materialise(copies)
+    if copies.count() != groups:
+        copies = df.groupBy(*[col(c) for c in compared]).agg(first)
+        rows = rows.limit(0)
+    chosen = [F.col("_first").getField(name).alias(name) if name in left_out else col(name) for name in df.columns]
+    return rows.filter("_first IS NULL").select(*[col(name) for name in df.columns]).unionByName(copies.select(*chosen))
 
 
 # ---- labels -----------------------------------------------------------------------------------------
@@ -132,6 +161,91 @@ def multi_hot(df: DataFrame, vocabulary: Sequence[str], tags: str = TAGS_COLUMN)
     return split.select(*[col(name) for name in df.columns if name != tags], *flags)
 
 
+# ---- dictionaries of any size -----------------------------------------------------------------------
+
+def numbered(values: DataFrame, digits_first: bool = False) -> DataFrame:
+    """``values(value)`` made distinct and numbered from 0 in text order, as ``(value, number)``.
+
+    With ``digits_first`` plain digits come before other text, by their value. The rank is taken over sorted ranges,
+    so the dictionary is never held by one task or the driver.
+    """
+    distinct = values.select("value").filter("value IS NOT NULL").distinct()
+    order = ["value"]
+    if digits_first:
+        plain = F.col("value").rlike(r"^[0-9]+$")
+        digits = F.when(plain, F.regexp_replace("value", "^0+(?=.)", ""))
+        distinct = distinct.withColumns({"_word": ~plain, "_long": F.coalesce(F.length(digits), F.lit(0)), "_digits": F.coalesce(digits, F.lit(""))})
+        order = ["_word", "_long", "_digits", "value"]
+    return running_total(distinct, order, out="_rank").select("value", (F.col("_rank") - 1).alias("number"))
+
+
+def fit_tag_dictionary(df: DataFrame, tags: str = TAGS_COLUMN) -> DataFrame:
+    """``fit_tags`` for a vocabulary of any size: ``(value, number)``."""
+    cells = df.select(col(tags)).filter(col(tags).isNotNull()).distinct()
+    return numbered(cells.select(F.explode(tag_tokens(col(tags))).alias("value")), digits_first=True)
+
+
+def fit_pair_dictionary(df: DataFrame, tariff: str = TARIFF_COLUMN, coverage: str = COVERAGE_COLUMN) -> DataFrame:
+    """``fit_pairs`` for any number of pairs: ``(value, number)``."""
+    return numbered(df.select(pair_key(tariff, coverage).alias("value")))
+
+
+def tag_positions(df: DataFrame, dictionary: DataFrame, tags: str = TAGS_COLUMN, out: str = TAG_POSITIONS) -> DataFrame:
+    """Replace the tag column by the ascending numbers of its distinct tags (``array<long>``), whatever their number.
+
+    Each distinct cell is split, looked up and gathered once; rows then look up their cell. Both lookups find and
+    spread heavy keys if they cannot be broadcast. A missing cell and tags outside the dictionary give no number.
+    """
+    cells = df.select(col(tags).alias("_cell")).filter("_cell IS NOT NULL").distinct()
+    long = cells.select("_cell", F.explode(F.array_distinct(tag_tokens(F.col("_cell")))).alias("value"))
+    gathered = attach(long, dictionary, ["value"], "inner").groupBy("_cell")
+    coded = materialise(gathered.agg(F.array_sort(F.collect_list("number")).alias(out)))
+    kept = [name for name in df.columns if name != tags]
+    found = attach(df.withColumn("_cell", col(tags)), coded, ["_cell"])
+    nothing = F.array().cast("array<long>")
+    return found.select(*[col(name) for name in kept], F.coalesce(col(out), nothing).alias(out))
+
+
+def pair_position(
+    df: DataFrame,
+    dictionary: DataFrame,
+    tariff: str = TARIFF_COLUMN,
+    coverage: str = COVERAGE_COLUMN,
+    out: str = PAIR_POSITION,
+) -> DataFrame:
+    """Add the number of the row's pair as an array of one, none for a pair outside the dictionary."""
+    found = attach(df.withColumn("value", pair_key(tariff, coverage)), dictionary, ["value"])
+    position = F.when(F.col("number").isNull(), F.array().cast("array<long>")).otherwise(F.array("number"))
+    return found.withColumn(out, position).select(*[col(name) for name in df.columns], out)
+
+
+def sparse_vectors(df: DataFrame, blocks: Sequence[tuple[str, int]], out: str = "features") -> DataFrame:
+    """Add a ``SparseVector`` of 0/1 entries: the position columns of ``blocks`` (name, size) one after the other.
+
+    The vector's fields are built as columns and written once; reading them back under the vector type needs no
+    Python and no list of columns. One vector has at most 2**31 - 1 entries, the limit of its type.
+    """
+    def moved(name: str, by: int) -> Column:
+        return F.transform(col(name), lambda n: (n + F.lit(by)).cast("int"))
+
+    before, parts = 0, []
+    for name, size in blocks:
+        parts.append(moved(name, before))
+        before += size
+    if before >= 1 << 31:
+        raise ValueError(f"{before} entries do not fit a vector; its positions are 32-bit numbers")
+    indices = F.concat(*parts) if parts else F.array().cast("array<int>")
+    vector = F.struct(
+        F.lit(0).cast("byte").alias("type"),
+        F.lit(before).alias("size"),
+        indices.alias("indices"),
+        F.transform(indices, lambda _: F.lit(1.0)).alias("values"),
+    )
+    built = df.withColumn(out, vector)
+    fields = [T.StructField(f.name, VectorUDT(), True) if f.name == out else f for f in built.schema.fields]
+    return materialise(built, T.StructType(fields))
+
+
 # ---- tariff x coverage pairs ------------------------------------------------------------------------
 
 def pair_key(tariff: str = TARIFF_COLUMN, coverage: str = COVERAGE_COLUMN) -> Column:
@@ -233,10 +347,7 @@ def categorical_columns(df: DataFrame, exclude: Iterable[str] = ()) -> list[str]
 
 def ordinal_dictionary(df: DataFrame, column: str) -> DataFrame:
     """(value, code): rank of each distinct value in text order, computed as a distributed global rank."""
-    values = df.select(col(column).cast("string").alias("value")).filter("value IS NOT NULL").distinct()
-    return running_total(values, ["value"], out="_rank").select(
-        "value", (F.col("_rank") - 1).cast("int").alias("code")
-    )
+    return numbered(df.select(col(column).cast("string").alias("value"))).withColumnRenamed("number", "code")
 
 
 def fit_ordinal(df: DataFrame, columns: Sequence[str], inline_limit: int = INLINE_CATEGORIES) -> OrdinalModel:
@@ -268,11 +379,12 @@ def fit_ordinal(df: DataFrame, columns: Sequence[str], inline_limit: int = INLIN
 
 
 def ordinal_codes(df: DataFrame, model: OrdinalModel) -> DataFrame:
-    """Replace each fitted column by its category code; missing or unseen values give -1."""
+    """Replace each fitted column by its category code; missing or unseen values give -1. Codes of a dictionary that
+    is looked up by a join are 64-bit numbers."""
     coded = df
     for name, table in model.tables.items():
         keyed = coded.withColumn("value", col(name).cast("string"))
-        coded = attach(keyed, table, ["value"]).withColumn(name, F.coalesce("code", F.lit(-1))).drop("value", "code")
+        coded = attach(keyed, table, ["value"]).withColumn(name, F.coalesce("code", F.lit(-1).cast("long"))).drop("value", "code")
     columns = []
     for name in df.columns:
         if name in model.inline:

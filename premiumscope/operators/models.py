@@ -7,6 +7,8 @@ It never reorders or drops rows, so the same rows can be scored twice in one pla
 from __future__ import annotations
 
 import json
+import math
+import random
 from collections.abc import Callable, Iterator, Mapping, Sequence
 from typing import Any, Protocol
 
@@ -14,7 +16,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.feature import MinMaxScaler, RobustScaler, SQLTransformer, StandardScaler, VectorAssembler
+from pyspark.ml.feature import Bucketizer, SQLTransformer, VectorAssembler
 from pyspark.ml.regression import GeneralizedLinearRegression, RandomForestRegressor
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,8 +24,10 @@ from pyspark.sql import types as T
 
 from premiumscope.functions.labels import text_or_missing
 from premiumscope.functions.numeric import col, fixed_sum, total_of
+from premiumscope.operators.joint import JointScorer, fit_joint
 from premiumscope.operators.metrics import absolute_percentage_error, group_means
 from premiumscope.operators.scale import attach, attach_rows, bounded_table, materialise
+from premiumscope.operators.scaling import fit_scaling
 from premiumscope.spec import APE, PREDICTION, SPLIT, encoding_columns, feature_columns, identity_first
 
 Outputs = Mapping[str, str]
@@ -37,6 +41,34 @@ class Scorer(Protocol):
     def score(self, df: DataFrame, outputs: Outputs) -> DataFrame: ...
 
 
+# ---- saved scorers ----------------------------------------------------------------------------------
+
+def write_record(path: str, record: Mapping[str, Any]) -> None:
+    """A small JSON record as a one-row text table."""
+    spark = SparkSession.active()
+    spark.createDataFrame([(json.dumps(record),)], "value string").coalesce(1).write.mode("overwrite").text(path)
+
+
+def read_record(spark: SparkSession, path: str) -> dict[str, Any]:
+    return json.loads(spark.read.text(path).first()["value"])
+
+
+def save_scorer(scorer: Scorer, path: str) -> None:
+    """A scorer as a folder of JSON and Parquet that ``load_scorer`` reads without being told its class."""
+    kind = next((name for name, cls in SAVED.items() if type(scorer) is cls), None)
+    if kind is None:
+        raise TypeError(f"a {type(scorer).__name__} has no saved form; those that have are {', '.join(SAVED)}")
+    scorer.save(path)
+    write_record(f"{path}/kind", {"kind": kind})
+
+
+def load_scorer(spark: SparkSession, path: str) -> Scorer:
+    kind = read_record(spark, f"{path}/kind")["kind"]
+    if kind not in SAVED:
+        raise ValueError(f"{path} holds a scorer of the kind {kind!r}; known are {', '.join(SAVED)}")
+    return SAVED[kind].load(spark, path)
+
+
 # ---- per-pair baselines -----------------------------------------------------------------------------
 
 class _PairTable:
@@ -48,12 +80,15 @@ class _PairTable:
         self.rows: pa.Table | None = bounded_table(table)
         self.stored = materialise(table) if self.rows is None else None
 
+    def frame(self, spark: SparkSession) -> DataFrame:
+        return self.stored if self.rows is None else spark.createDataFrame(self.rows, schema=self.schema)
+
+    def save(self, path: str) -> None:
+        self.frame(SparkSession.active()).write.mode("overwrite").parquet(path)
+
     def join(self, df: DataFrame, rename: Mapping[str, str]) -> DataFrame:
         keys = [f"_key_{g}" for g in self.groups]
-        if self.rows is None:
-            table, size = self.stored, float("inf")
-        else:
-            table, size = df.sparkSession.createDataFrame(self.rows, schema=self.schema), self.rows.num_rows
+        table, size = self.frame(df.sparkSession), float("inf") if self.rows is None else self.rows.num_rows
         names = dict(zip(self.groups, keys)) | dict(rename)
         lookup = table.select(*[col(old).alias(new) for old, new in names.items()])
         keyed = df.withColumns({k: text_or_missing(col(g)) for g, k in zip(self.groups, keys)})
@@ -72,6 +107,18 @@ class PairMeanScorer:
     def score(self, df: DataFrame, outputs: Outputs) -> DataFrame:
         return self._table.join(df, {c: outputs[c] for c in self.components})
 
+    def save(self, path: str) -> None:
+        self._table.save(f"{path}/table")
+        write_record(f"{path}/roles", {"groups": self.carried, "components": self.components})
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> PairMeanScorer:
+        roles = read_record(spark, f"{path}/roles")
+        scorer = cls.__new__(cls)
+        scorer.components, scorer.features, scorer.carried = roles["components"], [], roles["groups"]
+        scorer._table = _PairTable(spark.read.parquet(f"{path}/table"), roles["groups"])
+        return scorer
+
 
 def pair_lines(df: DataFrame, groups: Sequence[str], components: Sequence[str], feature: str) -> DataFrame:
     """Least-squares line of every component on one feature per pair; a constant feature gives the mean."""
@@ -101,6 +148,18 @@ class PairLineScorer:
         }
         return joined.withColumns(predicted).drop(*parts.values())
 
+    def save(self, path: str) -> None:
+        self._table.save(f"{path}/table")
+        write_record(f"{path}/roles", {"groups": self.carried, "components": self.components, "feature": self.features[0]})
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> PairLineScorer:
+        roles = read_record(spark, f"{path}/roles")
+        scorer = cls.__new__(cls)
+        scorer.components, scorer.features, scorer.carried = roles["components"], [roles["feature"]], roles["groups"]
+        scorer._table = _PairTable(spark.read.parquet(f"{path}/table"), roles["groups"])
+        return scorer
+
 
 def leave_fold_out_means(
     df: DataFrame,
@@ -147,6 +206,14 @@ class ExpressionScorer:
     def score(self, df: DataFrame, outputs: Outputs) -> DataFrame:
         return df.withColumns({outputs[c]: F.expr(f).cast("double") for c, f in self.formulas.items()})
 
+    def save(self, path: str) -> None:
+        write_record(f"{path}/roles", {"formulas": self.formulas, "features": self.features, "carried": self.carried})
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> ExpressionScorer:
+        roles = read_record(spark, f"{path}/roles")
+        return cls(roles["formulas"], roles["features"], roles["carried"])
+
 
 class ObjectScorer:
     """Any object with ``predict(features) -> n x k``: runs on Arrow batches, only the features travel."""
@@ -171,7 +238,7 @@ def _batch_predictor(model: Any, features: list[str], width: int) -> Callable:
             values = np.asarray(model.predict(batch.set_axis(features, axis=1)), dtype=float)
             values = values.reshape(-1, 1) if values.ndim == 1 else values
             if values.shape != (len(batch), width):
-                raise ValueError("Model prediction shape does not match the configured premium components.")
+                raise ValueError(f"predict gave an array of the shape {values.shape} for {len(batch)} rows and {width} components")
             yield pd.DataFrame(values, columns=[f"c{i}" for i in range(width)])
 
     predict.__annotations__ = {"batches": Iterator[pd.DataFrame], "return": Iterator[pd.DataFrame]}
@@ -183,34 +250,33 @@ def model_features(scorer: Scorer, columns: Sequence[str], excluded: Sequence[st
     return list(scorer.features) or feature_columns(columns, excluded)
 
 
-# ---- Spark ML families ------------------------------------------------------------------------------
+# ---- fitted families --------------------------------------------------------------------------------
 
 FORESTS = ("random_forest", "extra_trees")
-SMOOTH = ("tweedie", "pytorch")
+JOINT = ("pytorch", "joint")
+SMOOTH = ("tweedie", *JOINT)
 MODEL_TYPES = (*FORESTS, *SMOOTH)
 MAX_TREE_DEPTH = 30
-
-# Configuration names without a counterpart in Spark ML; accepted and without effect.
-IGNORED_PARAMETERS = {
-    "random_forest": {"n_jobs", "min_samples_split", "criterion"},
-    "extra_trees": {"n_jobs", "min_samples_split", "criterion"},
-    "tweedie": {
-        "hidden_units", "hidden_layers", "learning_rate", "batch_size", "patience", "validation_fraction",
-        "final_weight", "random_state", "device", "num_threads", "verbose",
-    },
+# Randomly binned copies of each feature an un-bagged forest draws from, and the bin bounds of a copy.
+COPIES, BOUNDS = 8, 8
+
+# Configuration names that change the fit, and those without a counterpart here: accepted, reported, without effect.
+_FOREST = {"n_estimators", "max_depth", "min_samples_leaf", "max_features", "max_samples", "random_state", "bootstrap", "max_bins"}
+_NO_FOREST = {"n_jobs", "min_samples_split", "criterion"}
+_NETWORK = {
+    "hidden_units", "hidden_layers", "learning_rate", "batch_size", "patience", "validation_fraction", "random_state",
+    "device", "num_threads", "verbose",
+}
+USED = {
+    "random_forest": _FOREST,
+    "extra_trees": _FOREST,
+    "tweedie": {"variance_power", "weight_decay", "max_epochs"},
+    "pytorch": {"weight_decay", "max_epochs", "final_weight"},
+    "joint": {"weight_decay", "max_epochs", "final_weight"},
+}
+UNUSED = {
+    "random_forest": _NO_FOREST, "extra_trees": _NO_FOREST, "tweedie": {*_NETWORK, "final_weight"}, "pytorch": _NETWORK, "joint": _NETWORK,
 }
-
-
-def _scaler(kind: str):
-    if kind == "none":
-        return None
-    if kind == "minmax":
-        return MinMaxScaler(inputCol="_assembled", outputCol="_scaled")
-    if kind == "robust":
-        return RobustScaler(inputCol="_assembled", outputCol="_scaled", withCentering=True, withScaling=True)
-    if kind == "standard":
-        return StandardScaler(inputCol="_assembled", outputCol="_scaled", withMean=True, withStd=True)
-    raise ValueError(f"Unsupported scaler type '{kind}'. Choose from: minmax, none, robust, standard.")
 
 
 def _subset_strategy(value: Any) -> str:
@@ -233,52 +299,74 @@ def _forest_parameters(params: Mapping[str, Any]) -> dict[str, Any]:
     }
 
 
-def _smooth_parameters(params: Mapping[str, Any]) -> dict[str, Any]:
-    return {
-        "variancePower": float(params.get("variance_power", 1.5)),
-        "regParam": float(params.get("weight_decay", 1e-4)),
-        "maxIter": int(params.get("max_epochs", 25)),
-    }
+def estimator_parameters(model_type: str, params: Mapping[str, Any]) -> dict[str, Any]:
+    """Configuration names translated to the parameters the fit really gets."""
+    if model_type not in MODEL_TYPES:
+        raise ValueError(f"no model family is called {model_type!r}; there are {', '.join(sorted(MODEL_TYPES))}")
+    strange = sorted(set(params) - USED[model_type] - UNUSED[model_type])
+    if strange:
+        raise ValueError(f"the family {model_type!r} has no parameters {strange}")
+    if model_type in JOINT:
+        return {
+            "weight_decay": float(params.get("weight_decay", 1e-4)),
+            "max_epochs": int(params.get("max_epochs", 50)),
+            "final_weight": float(params.get("final_weight", 0.5)),
+        }
+    if model_type == "tweedie":
+        return {
+            "variancePower": float(params.get("variance_power", 1.5)),
+            "regParam": float(params.get("weight_decay", 1e-4)),
+            "maxIter": int(params.get("max_epochs", 25)),
+        }
+    return _forest_parameters({"bootstrap": model_type == "random_forest", **params})
 
 
-_KNOWN = {
-    "forest": {
-        "n_estimators", "max_depth", "min_samples_leaf", "max_features", "max_samples", "random_state",
-        "bootstrap", "max_bins",
-    },
-    "smooth": {"variance_power", "weight_decay", "max_epochs"},
-}
+def adjusted_parameters(model_type: str, params: Mapping[str, Any]) -> dict[str, str]:
+    """What a configuration asks for that the fit does differently: {name: what happens to it}."""
+    said = {name: "no effect" for name in sorted(set(params) & UNUSED[model_type])}
+    if model_type in FORESTS and "max_depth" in params:
+        asked = params["max_depth"]
+        if asked is None or int(asked) > MAX_TREE_DEPTH:
+            said["max_depth"] = f"{asked} becomes {MAX_TREE_DEPTH}"
+    return said
 
 
-def estimator_parameters(model_type: str, params: Mapping[str, Any]) -> dict[str, Any]:
-    """Configuration names translated to the parameters the Spark estimator really gets."""
-    if model_type not in MODEL_TYPES:
-        raise ValueError(f"Unsupported model type '{model_type}'. Choose from: {', '.join(sorted(MODEL_TYPES))}.")
-    family = "forest" if model_type in FORESTS else "smooth"
-    ignored = IGNORED_PARAMETERS[model_type if family == "forest" else "tweedie"]
-    unknown = sorted(set(params) - _KNOWN[family] - ignored)
-    if unknown:
-        raise ValueError(f"Unknown parameters for '{model_type}': {unknown}")
-    if family == "smooth":
-        return _smooth_parameters(params)
-    defaults = {"bootstrap": model_type == "random_forest"}
-    found = _forest_parameters({**defaults, **params})
-    if not found["bootstrap"] and found["subsamplingRate"] == 1.0 and found["featureSubsetStrategy"] == "all":
-        found["numTrees"] = 1  # nothing is drawn: all trees would be the same one
-    return found
-
-
-def _regressor(model_type: str, params: Mapping[str, Any], label: str, features: str, prediction: str):
-    fixed = estimator_parameters(model_type, params)
+def _regressor(model_type: str, fixed: Mapping[str, Any], label: str, features: str, prediction: str):
     roles = {"labelCol": label, "featuresCol": features, "predictionCol": prediction}
     if model_type in FORESTS:
         return RandomForestRegressor(**roles, **fixed)
     return GeneralizedLinearRegression(**roles, family="tweedie", linkPower=0.0, **fixed)
 
 
+def _share_of_copies(strategy: str, features: int) -> str:
+    """Features a node draws among ``features * COPIES``, so that it sees about as many as without copies."""
+    share = {"all": 1.0, "auto": 1 / 3, "onethird": 1 / 3, "sqrt": features**-0.5, "log2": math.log2(max(features, 2)) / features}
+    wanted = share.get(strategy)
+    if wanted is None:
+        wanted = float(strategy) if "." in strategy else int(strategy) / features
+    return str(max(1, round(min(1.0, wanted) * features)))
+
+
+def _drawn_bins(train: DataFrame, inputs: Sequence[str], seed: int) -> list[tuple[str, list[float]]]:
+    """Per copy of each column the bounds of its bins, drawn evenly between the column's ends."""
+    ends = train.agg(*[f(col(name)).alias(f"{k}{i}") for i, name in enumerate(inputs) for k, f in (("l", F.min), ("h", F.max))]).first()
+    drawn = []
+    for i, name in enumerate(inputs):
+        rng = random.Random(f"{seed}:{i}")
+        low, high = ends[f"l{i}"], ends[f"h{i}"]
+        if low is None or not high > low:
+            continue
+        for _ in range(COPIES):
+            bounds = sorted({rng.uniform(low, high) for _ in range(BOUNDS)})
+            drawn.append((name, [-math.inf, *bounds, math.inf]))
+    return drawn
+
+
 class SparkModelScorer:
     """A fitted pipeline: one assembler (and scaler) shared by one regressor per component."""
 
+    strategy = "per-component"
+
     def __init__(self, pipeline: PipelineModel, features: Sequence[str], components: Sequence[str]):
         self.pipeline = pipeline
         self.features, self.components, self.carried = list(features), list(components), []
@@ -293,38 +381,46 @@ class SparkModelScorer:
 
     def save(self, path: str) -> None:
         self.pipeline.write().overwrite().save(f"{path}/pipeline")
-        roles = json.dumps({"features": self.features, "components": self.components})
-        spark = SparkSession.active()
-        spark.createDataFrame([(roles,)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/roles")
+        write_record(f"{path}/roles", {"features": self.features, "components": self.components})
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> SparkModelScorer:
-        roles = json.loads(spark.read.text(f"{path}/roles").first()["value"])
+        roles = read_record(spark, f"{path}/roles")
         return cls(PipelineModel.load(f"{path}/pipeline"), roles["features"], roles["components"])
 
 
 def build_pipeline(
+    train: DataFrame,
     features: Sequence[str],
     components: Sequence[str],
     model_type: str,
     scaler: str = "none",
     params: Mapping[str, Any] | None = None,
 ) -> Pipeline:
-    """Unfitted pipeline: rename to safe names, assemble, scale, one regressor per component."""
+    """Unfitted pipeline: scaled features under safe names, assembled, then one regressor per component.
+
+    A forest that draws no rows would grow the same tree over and over where it draws no features either. Its features
+    are therefore copied, every copy with bin bounds of its own drawn at random, and each node chooses among a random
+    part of the copies: trees differ by the cuts they may choose, not by the rows they see.
+    """
+    fixed = estimator_parameters(model_type, params or {})
+    scaling = fit_scaling(train, features, scaler)
     safe = [f"_f{i}" for i in range(len(features))]
     quoted = ["`" + name.replace("`", "``") + "`" for name in features]
-    statement = "SELECT *, " + ", ".join(f"{q} AS {s}" for q, s in zip(quoted, safe)) + " FROM __THIS__"
-    stages: list = [
-        SQLTransformer(statement=statement),
-        VectorAssembler(inputCols=safe, outputCol="_assembled"),
-    ]
-    scaling = _scaler(scaler)
-    if scaling is not None:
-        stages.append(scaling)
-    vector = "_assembled" if scaling is None else "_scaled"
+    scaled = [f"(CAST({q} AS DOUBLE) - {scaling.centre[n]!r}D) / {scaling.spread[n]!r}D" for q, n in zip(quoted, features)]
+    statement = "SELECT *, " + ", ".join(f"{x} AS {s}" for x, s in zip(quoted if scaler == "none" else scaled, safe)) + " FROM __THIS__"
+    stages: list = [SQLTransformer(statement=statement)]
+    inputs = safe
+    if model_type in FORESTS and not fixed["bootstrap"] and fixed["subsamplingRate"] == 1.0 and fixed["numTrees"] > 1:
+        drawn = _drawn_bins(stages[0].transform(train), safe, fixed["seed"])
+        if drawn:
+            inputs = [f"_c{i}" for i in range(len(drawn))]
+            names, bounds = [name for name, _ in drawn], [b for _, b in drawn]
+            stages.append(Bucketizer(splitsArray=bounds, inputCols=names, outputCols=inputs, handleInvalid="keep"))
+            fixed["featureSubsetStrategy"] = _share_of_copies(fixed["featureSubsetStrategy"], len(set(names)))
+    stages.append(VectorAssembler(inputCols=inputs, outputCol="_assembled"))
     stages += [
-        _regressor(model_type, params or {}, f"`{c}`" if "." in c else c, vector, f"_premium_{i}")
-        for i, c in enumerate(components)
+        _regressor(model_type, fixed, f"`{c}`" if "." in c else c, "_assembled", f"_premium_{i}") for i, c in enumerate(components)
     ]
     return Pipeline(stages=stages)
 
@@ -336,12 +432,25 @@ def fit_spark_model(
     model_type: str,
     scaler: str = "none",
     params: Mapping[str, Any] | None = None,
-) -> SparkModelScorer:
-    pipeline = build_pipeline(features, components, model_type, scaler, params)
+) -> SparkModelScorer | JointScorer:
+    """Fit one of ``MODEL_TYPES``: forests and the Tweedie family per component, the joint family all at once."""
     rows = train.select(*[col(name) for name in dict.fromkeys([*features, *components])])
+    if model_type in JOINT:
+        return fit_joint(rows, features, components, scaler=scaler, **estimator_parameters(model_type, params or {}))
+    pipeline = build_pipeline(rows, features, components, model_type, scaler, params)
     return SparkModelScorer(pipeline.fit(rows), features, components)
 
 
+#: Scorers with a saved form, by the name they are saved under.
+SAVED: dict[str, type] = {
+    "pair means": PairMeanScorer,
+    "pair lines": PairLineScorer,
+    "formula": ExpressionScorer,
+    "pipeline": SparkModelScorer,
+    "joint": JointScorer,
+}
+
+
 # ---- scored table -----------------------------------------------------------------------------------
 
 def component_outputs(components: Sequence[str], suffix: str = " Prediction") -> dict[str, str]:
@@ -357,7 +466,7 @@ def scored_table(df: DataFrame, scorer: Scorer, total: str, identity: str) -> Da
     encodings are left out and the identity comes first."""
     names = identity_first(df.columns, identity)
     if SPLIT not in names:
-        raise ValueError("Some dataset rows were not assigned to train or test.")
+        raise ValueError(f"the table has no column {SPLIT!r}: its rows are not assigned to train or test")
     outputs = component_outputs(scorer.components)
     hidden = {*encoding_columns(names), SPLIT}
     scored = with_total(scorer.score(df, outputs), outputs, PREDICTION)

@@ -10,7 +10,8 @@ from __future__ import annotations
 import datetime as dt
 import math
 import operator
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
+from dataclasses import dataclass
 from functools import reduce
 from typing import Any
 
@@ -19,75 +20,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from premiumscope.functions.numeric import col, dtype_of, is_finite, is_text, to_number
+from premiumscope.functions.numeric import col, dtype_of, is_finite, is_floating, is_text, nan_to_null, to_number
 from premiumscope.spec import COVERAGE_COLUMN, SPLIT, TARIFF_COLUMN
 
-LOGICAL_KEYS = ("all", "any", "not")
-ORDERINGS: dict[str, Callable[[Any, Any], Any]] = {
-    "gt": operator.gt,
-    "gte": operator.ge,
-    "lt": operator.lt,
-    "lte": operator.le,
-}
-INCLUSIVE = {
-    "both": (operator.ge, operator.le),
-    "neither": (operator.gt, operator.lt),
-    "left": (operator.ge, operator.lt),
-    "right": (operator.gt, operator.le),
-}
-
-
-def compile_predicate(expression: dict[str, Any] | None, schema: T.StructType) -> Column:
-    """Boolean column for a selection expression. All shape and field errors are raised here, before any
-    data is read."""
-    if expression is None:
-        return F.lit(True)
-    if not isinstance(expression, dict):
-        raise ValueError("A selection expression must be an object.")
-    keys = [key for key in LOGICAL_KEYS if key in expression]
-    if keys:
-        if len(keys) > 1 or len(expression) > 1:
-            raise ValueError("A logical expression must contain only 'all', 'any', or 'not'.")
-        return _logical(keys[0], expression[keys[0]], schema)
-    return _leaf(expression, schema)
-
-
-def _logical(key: str, body: Any, schema: T.StructType) -> Column:
-    if key == "not":
-        if not isinstance(body, dict):
-            raise ValueError("'not' must contain one selection expression.")
-        return ~compile_predicate(body, schema)
-    if not isinstance(body, list) or not body:
-        raise ValueError(f"'{key}' must contain at least one expression.")
-    parts = [compile_predicate(part, schema) for part in body]
-    return reduce(operator.and_ if key == "all" else operator.or_, parts)
-
-
-def _leaf(expression: dict[str, Any], schema: T.StructType) -> Column:
-    name, op = expression.get("field"), expression.get("op")
-    if not isinstance(name, str) or name not in schema.fieldNames():
-        raise ValueError(f"Unknown selection field: {name!r}.")
-    if not isinstance(op, str):
-        raise ValueError(f"Selection for '{name}' requires an 'op'.")
-    value, dtype = col(name), schema[name].dataType
-    if op in ("eq", "ne"):
-        equal = _equals(value, dtype, expression.get("value"))
-        return equal if op == "eq" else ~equal
-    if op in ORDERINGS:
-        return _ordered(value, dtype, name, ORDERINGS[op], expression.get("value"))
-    if op in ("in", "not_in"):
-        candidates = expression.get("values")
-        if not isinstance(candidates, list):
-            raise ValueError(f"'{op}' requires a 'values' list.")
-        member = _member(value, dtype, candidates)
-        return member if op == "in" else ~member
-    if op == "between":
-        return _between(value, dtype, name, expression)
-    if op == "is_null":
-        return value.isNull()
-    if op == "not_null":
-        return value.isNotNull()
-    raise ValueError(f"Unsupported selection operation: {op!r}.")
+Node = dict[str, Any]
 
 
 def _is_missing(literal: Any) -> bool:
@@ -114,45 +50,171 @@ def _comparable(dtype: T.DataType, literal: Any) -> Column | None:
     return None
 
 
-def _equals(value: Column, dtype: T.DataType, literal: Any) -> Column:
-    other = None if _is_missing(literal) else _comparable(dtype, literal)
-    return F.lit(False) if other is None else value.eqNullSafe(other)
+@dataclass(frozen=True)
+class Cell:
+    """A column under selection: what counts as present, and how it compares with a literal."""
+
+    value: Column
+    dtype: T.DataType
+    nan_is_missing: bool
+
+    @property
+    def present(self) -> Column:
+        if self.nan_is_missing and is_floating(self.dtype):
+            return self.value.isNotNull() & ~F.isnan(self.value)
+        return self.value.isNotNull()
+
+    def ordered(self, compare: Callable[[Any, Any], Any], literal: Any) -> Column:
+        """Two-valued comparison; nothing compares with a missing literal."""
+        if _is_missing(literal):
+            return F.lit(False)
+        other = _comparable(self.dtype, literal)
+        if other is None:  # a truth value against a number
+            return self.present & compare(self.value.cast("int"), F.lit(literal))
+        return self.present & compare(self.value, other)
+
+    def equal(self, literal: Any) -> Column:
+        other = None if _is_missing(literal) else _comparable(self.dtype, literal)
+        return F.lit(False) if other is None else self.value.eqNullSafe(other)
+
+    def member(self, candidates: Sequence[Any]) -> Column:
+        known = [_comparable(self.dtype, c) for c in candidates if not _is_missing(c)]
+        usable = [c for c in known if c is not None]
+        member = self.present & self.value.isin(*usable) if usable else F.lit(False)
+        if is_text(self.dtype) and any(_is_missing(c) for c in candidates):
+            member = member | self.value.isNull()
+        return member
+
+
+# Which ends of a range belong to it: (comparison with the lower end, comparison with the upper end).
+ENDS: dict[Any, tuple[Callable, Callable]] = {
+    True: (operator.ge, operator.le), "both": (operator.ge, operator.le),
+    False: (operator.gt, operator.lt), "neither": (operator.gt, operator.lt),
+    "left": (operator.ge, operator.lt), "right": (operator.gt, operator.le),
+}
+
+
+def _no_order(dtype: T.DataType, literal: Any) -> bool:
+    number = isinstance(dtype, T.BooleanType) and isinstance(literal, (int, float))
+    return not (_is_missing(literal) or number or _comparable(dtype, literal) is not None)
+
+
+def _wrong_literal(*names: str) -> Callable[[T.DataType, Node], str | None]:
+    def check(dtype: T.DataType, node: Node) -> str | None:
+        wrong = {name: node.get(name) for name in names if _no_order(dtype, node.get(name))}
+        return f"a {dtype.simpleString()} has no order with {wrong}" if wrong else None
+
+    return check
+
+
+def _wrong_list(dtype: T.DataType, node: Node) -> str | None:
+    return None if isinstance(node["values"], list) else f"values is {node['values']!r}, not a list"
+
 
+def _wrong_range(dtype: T.DataType, node: Node) -> str | None:
+    side = node.get("inclusive", True)
+    known = isinstance(side, (bool, str)) and side in ENDS
+    return _wrong_literal("lower", "upper")(dtype, node) if known else f"inclusive is {side!r}, not one of {list(ENDS)}"
 
-def _ordered(value: Column, dtype: T.DataType, name: str, compare: Callable, literal: Any) -> Column:
-    if _is_missing(literal):
-        return F.lit(False)
-    other = _comparable(dtype, literal)
-    if other is None and isinstance(dtype, T.BooleanType) and isinstance(literal, (int, float)):
-        value, other = value.cast("int"), F.lit(literal)
-    if other is None:
-        raise ValueError(f"'{name}' ({dtype.simpleString()}) cannot be ordered against {literal!r}.")
-    return value.isNotNull() & compare(value, other)
 
+@dataclass(frozen=True)
+class Operation:
+    """What a comparison needs beside its field, what is wrong with its operands, and the column it stands for."""
+
+    build: Callable[[Cell, Node], Column]
+    needs: tuple[str, ...] = ()
+    problem: Callable[[T.DataType, Node], str | None] = lambda dtype, node: None
+
+
+def _range(cell: Cell, node: Node) -> Column:
+    low, high = ENDS[node.get("inclusive", True)]
+    return cell.ordered(low, node["lower"]) & cell.ordered(high, node["upper"])
+
+
+OPERATIONS: dict[str, Operation] = {
+    "eq": Operation(lambda cell, node: cell.equal(node.get("value"))),
+    "ne": Operation(lambda cell, node: ~cell.equal(node.get("value"))),
+    **{
+        name: Operation(lambda cell, node, compare=compare: cell.ordered(compare, node.get("value")), (), _wrong_literal("value"))
+        for name, compare in {"gt": operator.gt, "gte": operator.ge, "lt": operator.lt, "lte": operator.le}.items()
+    },
+    "in": Operation(lambda cell, node: cell.member(node["values"]), ("values",), _wrong_list),
+    "not_in": Operation(lambda cell, node: ~cell.member(node["values"]), ("values",), _wrong_list),
+    "between": Operation(_range, ("lower", "upper"), _wrong_range),
+    "is_null": Operation(lambda cell, node: ~cell.present),
+    "not_null": Operation(lambda cell, node: cell.present),
+}
+# Joiners of selections: how the parts' columns become one, and whether the body is a list of parts or a single one.
+JOINERS: dict[str, tuple[Callable[[list[Column]], Column], bool]] = {
+    "all": (lambda parts: reduce(operator.and_, parts), True),
+    "any": (lambda parts: reduce(operator.or_, parts), True),
+    "not": (lambda parts: ~parts[0], False),
+}
+
+
+def _parts(key: str, body: Any) -> list[tuple[str, Any]]:
+    """The selections a joiner holds, each with its place."""
+    return [(f"{key}[{i}]", part) for i, part in enumerate(body)] if JOINERS[key][1] else [(key, body)]
+
+
+def selection_problems(expression: Any, schema: T.StructType, place: str = "selection") -> Iterator[str]:
+    """Everything wrong with a selection, each with the place of the node it is about. No data is read."""
+    if not isinstance(expression, dict):
+        yield f"{place} is {expression!r}, not an object"
+        return
+    joiners = [key for key in JOINERS if key in expression]
+    if joiners:
+        others = sorted(set(expression) - {joiners[0]})
+        if others:
+            yield f"{place} has {others} beside {joiners[0]!r}"
+        body = expression[joiners[0]]
+        if JOINERS[joiners[0]][1] and not (isinstance(body, list) and body):
+            yield f"{place}.{joiners[0]} is {body!r}, not a list of selections"
+            return
+        for own, part in _parts(joiners[0], body):
+            yield from selection_problems(part, schema, f"{place}.{own}")
+        return
+    name, op = expression.get("field"), expression.get("op")
+    if not isinstance(name, str) or name not in schema.fieldNames():
+        yield f"{place}.field is {name!r}, which is no column"
+    elif not isinstance(op, str) or op not in OPERATIONS:
+        yield f"{place}.op is {op!r}; {name!r} can be compared by {', '.join(OPERATIONS)}"
+    else:
+        lacking = [key for key in OPERATIONS[op].needs if key not in expression]
+        wrong = f"{op!r} lacks {lacking}" if lacking else OPERATIONS[op].problem(schema[name].dataType, expression)
+        if wrong:
+            yield f"{place}: {wrong}"
+
+
+def compile_predicate(expression: Node | None, schema: T.StructType, nan_is_missing: bool = False) -> Column:
+    """Boolean column for a selection; None selects all rows.
+
+    The whole selection is checked before any of it is compiled, and all its problems are reported together. With
+    ``nan_is_missing`` NaN in a floating column counts as missing, for tables that were not written by this package.
+    """
+    if expression is None:
+        return F.lit(True)
+    problems = list(selection_problems(expression, schema))
+    if problems:
+        raise ValueError("; ".join(problems))
+
+    def column(node: Node) -> Column:
+        key = next((key for key in JOINERS if key in node), None)
+        if key is not None:
+            return JOINERS[key][0]([column(part) for _, part in _parts(key, node[key])])
+        cell = Cell(col(node["field"]), schema[node["field"]].dataType, nan_is_missing)
+        return OPERATIONS[node["op"]].build(cell, node)
 
-def _member(value: Column, dtype: T.DataType, candidates: Sequence[Any]) -> Column:
-    known = [_comparable(dtype, c) for c in candidates if not _is_missing(c)]
-    usable = [c for c in known if c is not None]
-    member = value.isNotNull() & value.isin(*usable) if usable else F.lit(False)
-    if is_text(dtype) and any(_is_missing(c) for c in candidates):
-        member = member | value.isNull()
-    return member
+    return column(expression)
 
 
-def _between(value: Column, dtype: T.DataType, name: str, expression: dict[str, Any]) -> Column:
-    if "lower" not in expression or "upper" not in expression:
-        raise ValueError("'between' requires 'lower' and 'upper'.")
-    inclusive = expression.get("inclusive", True)
-    side = {True: "both", False: "neither"}.get(inclusive, inclusive) if isinstance(inclusive, bool) else inclusive
-    if side not in INCLUSIVE:
-        raise ValueError("'inclusive' must be true, false, 'left', 'right', or 'both'.")
-    low, high = INCLUSIVE[side]
-    return _ordered(value, dtype, name, low, expression["lower"]) & _ordered(
-        value, dtype, name, high, expression["upper"]
-    )
+def select_raw_rows(df: DataFrame, expression: Node | None) -> DataFrame:
+    """``select_rows`` on a table that may hold NaN: the selection reads the columns as they are stored, so that it
+    reaches the scan, and NaN becomes NULL behind it."""
+    return nan_to_null(df.filter(compile_predicate(expression, df.schema, nan_is_missing=True)))
 
 
-def select_rows(df: DataFrame, expression: dict[str, Any] | None) -> DataFrame:
+def select_rows(df: DataFrame, expression: Node | None) -> DataFrame:
     return df.filter(compile_predicate(expression, df.schema))
 
 
@@ -165,7 +227,7 @@ def free_filter(df: DataFrame, condition: str | None) -> DataFrame:
     try:
         return df.filter(F.expr(condition))
     except (AnalysisException, ParseException) as error:
-        raise ValueError(f"Invalid filter query: {error}") from error
+        raise ValueError(f"{condition!r} is no condition on this table: {error}") from error
 
 
 def by_split(df: DataFrame, label: str) -> DataFrame:

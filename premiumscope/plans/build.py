@@ -36,6 +36,12 @@ class EncodedDataset:
     dropped: list[str]
     tags: list[str] = field(default_factory=list)
     pairs: list[str] = field(default_factory=list)
+    dictionaries: dict[str, DataFrame] = field(default_factory=dict)
+
+    def with_vectors(self, out: str = "features") -> DataFrame:
+        """The rows with one sparse vector over all numbered tags and pairs."""
+        blocks = [(name, table.count()) for name, table in self.dictionaries.items()]
+        return encode.sparse_vectors(self.data, blocks, out)
 
     @property
     def targets(self) -> list[str]:
@@ -64,11 +70,16 @@ def encode_portfolio(
     identity: str = IDENTITY_COLUMN,
     order_by: Iterable[str] | None = None,
     dedupe: bool = True,
+    sparse: bool = False,
 ) -> EncodedDataset:
     """Drop, label, encode, fill and de-duplicate in the contract's order.
 
     Each fit step is one small aggregate over the columns it needs; the encoded table itself is a single
     lazy projection followed by the de-duplicating aggregate. The identity stays text and is never encoded.
+
+    Tags and pairs become a 0/1 column each. If there are more than ``encode.MAX_ENCODED_COLUMNS`` of either, or with
+    ``sparse``, they become one column of positions in a dictionary instead (``EncodedDataset.dictionaries``), from
+    which ``with_vectors`` builds a sparse vector.
     """
     total = infer_total_target(raw.columns, target)
     components = infer_components(raw.columns, total)
@@ -83,9 +94,14 @@ def encode_portfolio(
         df = df.withColumn(identity, col(identity).cast("string"))
 
     vocabulary: list[str] = []
+    dictionaries: dict[str, DataFrame] = {}
     if tags in df.columns:
-        vocabulary = encode.fit_tags(df, tags)
-        df = encode.multi_hot(df, vocabulary, tags)
+        vocabulary = None if sparse else encode.try_vocabulary(encode.fit_tags, df, tags)
+        if vocabulary is None:
+            dictionaries[encode.TAG_POSITIONS] = materialise(encode.fit_tag_dictionary(df, tags))
+            df = encode.tag_positions(df, dictionaries[encode.TAG_POSITIONS], tags)
+        else:
+            df = encode.multi_hot(df, vocabulary, tags)
     reporting: list[str] = []
     if RAW_COVERAGE_COLUMN in df.columns:
         df = encode.add_coverage_label(df)
@@ -95,8 +111,12 @@ def encode_portfolio(
         reporting.append(TARIFF_COLUMN)
     pairs: list[str] = []
     if {TARIFF_COLUMN, COVERAGE_COLUMN} <= set(df.columns):
-        pairs = encode.fit_pairs(df)
-        df = encode.pair_one_hot(df, pairs)
+        pairs = None if sparse else encode.try_vocabulary(encode.fit_pairs, df)
+        if pairs is None:
+            dictionaries[encode.PAIR_POSITION] = materialise(encode.fit_pair_dictionary(df))
+            df = encode.pair_position(df, dictionaries[encode.PAIR_POSITION])
+        else:
+            df = encode.pair_one_hot(df, pairs)
 
     untouched = [*targets, *reporting, identity, TARIFF_COLUMN]
     df = encode.cast_numeric_like(df, encode.fit_numeric_like(df, untouched))
@@ -107,7 +127,7 @@ def encode_portfolio(
     if dedupe:
         ids = [identity] if identity in before.columns else []
         data = encode.drop_duplicates_keep_first(before, ids, list(order_by) if order_by else None)
-    return EncodedDataset(data, before, total, components, reporting, dropped, vocabulary, pairs)
+    return EncodedDataset(data, before, total, components, reporting, dropped, vocabulary or [], pairs or [], dictionaries)
 
 
 def build_dataset(

@@ -9,7 +9,8 @@ from typing import Any
 from pyspark.sql import DataFrame, SparkSession
 
 from premiumscope.operators import analytics
-from premiumscope.operators.models import Scorer, SparkModelScorer
+from premiumscope.operators.models import Scorer, load_scorer
+from premiumscope.operators.predicate import select_raw_rows
 from premiumscope.operators.scale import materialise
 from premiumscope.operators.scenario import check_scenario, counterfactual_table
 from premiumscope.sources.readers import read_table
@@ -28,9 +29,9 @@ def run_scenario(
 ) -> DataFrame:
     components = list(config.get("component_target_columns", []))
     if not components:
-        raise ValueError("The config must define 'component_target_columns'.")
+        raise ValueError("component_target_columns names no component")
     if components != list(scorer.components):
-        raise ValueError("Model prediction shape does not match the configured premium components.")
+        raise ValueError(f"the scorer predicts {list(scorer.components)}, component_target_columns names {components}")
     total = config.get("target_column", "Prima")
     excluded = [*components, total, *config.get("drop_columns", [IDENTITY_COLUMN])]
     return counterfactual_table(scorer, source, scenario, total, excluded)
@@ -44,8 +45,12 @@ def run_scenario_from_paths(
     config: Mapping[str, Any],
     output: str | None = None,
 ) -> DataFrame:
-    scorer = SparkModelScorer.load(spark, model_path)
-    result = run_scenario(scorer, read_table(spark, dataset_path), load_scenario(spark, scenario_path), config)
+    """Any saved scorer on a stored dataset. The selection is applied to the columns as they are stored, so it reaches
+    the scan; what is left of the scenario then runs on the selected rows."""
+    scenario = load_scenario(spark, scenario_path)
+    selected = select_raw_rows(read_table(spark, dataset_path, trusted=True), scenario.get("selection"))
+    rest = {name: part for name, part in scenario.items() if name != "selection"}
+    result = run_scenario(load_scorer(spark, model_path), selected, rest, config)
     if output:
         write_table(result, output)
         return read_table(spark, output, trusted=True)
@@ -64,12 +69,13 @@ def impact_report(
     """All tables of the impact report. The measured rows are written once; every table reads that copy."""
     options = scenario_targets(table.columns)
     if target not in options:
-        raise ValueError("The dataset does not contain matching *_Baseline and *_Counterfactual premium columns.")
+        raise ValueError(f"no pair of scenario premiums is called {target!r}; there are {sorted(options)}")
     changes = materialise(analytics.change_rows(table, *options[target]))
     measured = analytics.measured_rows(changes, measure)
     if measured.isEmpty():
-        raise ValueError("No finite values are available for the selected measure.")
-    view = analytics.central_view(measured, measure, percentile, symmetric=True)
+        raise ValueError(f"{measure!r} of {target!r} is not finite in any row")
+    ranks = analytics.ReportRanks(measured, measure, percentile, symmetric=True)
+    view = analytics.central_view(measured, measure, percentile, True, ranks)
     central = measured.filter(view.contains(analytics.col(measure)))
     bins = analytics.bin_count(central, measure).first()["bins"]
     return {
@@ -77,7 +83,7 @@ def impact_report(
         "excluded": analytics.unmeasured_count(changes, measure),
         "outside_view": analytics.outside_view(measured, measure, view),
         "histogram": analytics.histogram(central, measure, bins, view.lower, view.upper),
-        "references": analytics.histogram_references(measured, measure, view),
+        "references": analytics.histogram_references(measured, measure, view, ranks),
         "cdf": analytics.empirical_cdf(measured, measure),
         "furthest": analytics.furthest_from_mean(
             measured,

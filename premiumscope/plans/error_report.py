@@ -26,18 +26,19 @@ def error_report(
     chosen = free_filter(scored, condition)
     errors = materialise(analytics.error_rows(chosen, actual, predicted, mode))
     if errors.isEmpty():
-        raise ValueError("No finite errors are available for this selection.")
+        raise ValueError(f"the selection {condition!r} leaves no row with a finite {mode!r} of {target!r}")
     symmetric = mode == analytics.SIGNED
-    view = analytics.central_view(errors, "_Metric", percentile, symmetric)
+    ranks = analytics.ReportRanks(errors, "_Metric", percentile, symmetric)
+    view = analytics.central_view(errors, "_Metric", percentile, symmetric, ranks)
     central = errors.filter(view.contains(col("_Metric")))
     bins = analytics.bin_count(central, "_Metric").first()["bins"]
     tables = {
         "summary": analytics.error_summary(errors),
-        "tails": analytics.tail_summary(errors, "_Metric", symmetric, view),
+        "tails": analytics.tail_summary(errors, "_Metric", symmetric, view, ranks),
         "histogram": analytics.histogram(central, "_Metric", bins, view.lower, view.upper),
-        "references": analytics.histogram_references(errors, "_Metric", view),
+        "references": analytics.histogram_references(errors, "_Metric", view, ranks),
         "cdf": analytics.empirical_cdf(errors, "_Metric", log_axis=log_cdf and not symmetric),
-        "cdf_references": analytics.cdf_references(errors, "_Metric"),
+        "cdf_references": analytics.cdf_references(errors, "_Metric", ranks),
         "furthest": analytics.furthest_from_mean(errors, "_Metric", rows, identity, {mode: "_Metric"}),
     }
     if mode == analytics.PERCENT:

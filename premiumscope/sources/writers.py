@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from premiumscope.functions.numeric import col, nan_to_null
+from premiumscope.operators.scale import running_total
 from premiumscope.operators.validate import Triage
-from premiumscope.spec import APE
+from premiumscope.spec import APE, IDENTITY_COLUMN
 
-TOP_K_LIMIT = 100_000
+ONE_FILE_ROWS = 100_000
+ERROR_RANK = "Error rank"
 
 
 def write_table(df: DataFrame, path: str) -> str:
@@ -35,23 +39,39 @@ def by_error(scored: DataFrame) -> DataFrame:
     return scored.orderBy(col(APE).desc_nulls_last())
 
 
-def write_sorted_by_error(scored: DataFrame, path: str, file_format: str = "csv") -> str:
-    by_error(scored).write.mode("overwrite").option("header", True).format(file_format).save(path)
+def write_sorted_by_error(scored: DataFrame, path: str, file_format: str = "csv", identity: str = IDENTITY_COLUMN) -> str:
+    """Rows by descending percentage error (undefined last, ties by identity) with their place as ``ERROR_RANK``.
+
+    Files follow each other in that order, and the place beside each row lets a reader check it.
+    """
+    ranked = running_total(scored, [col(APE).desc_nulls_last(), col(identity)], out=ERROR_RANK)
+    ordered = ranked.repartitionByRange(col(ERROR_RANK)).sortWithinPartitions(col(ERROR_RANK))
+    ordered.write.mode("overwrite").option("header", True).format(file_format).save(path)
     return path
 
 
 def write_metrics(metrics: DataFrame, path: str, run_id: str, file_format: str = "json") -> str:
-    """Long-form metrics, one folder per run."""
+    """Long-form metrics, one folder per run. Writing a run again replaces its folder and no other."""
     tagged = metrics.withColumn("run_id", F.lit(run_id))
-    tagged.write.mode("append").partitionBy("run_id").format(file_format).save(path)
+    writer = tagged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    writer.partitionBy("run_id").format(file_format).save(path)
     return path
 
 
-def write_top_rows(df: DataFrame, path: str, rows: int) -> str:
-    """One CSV file with a small ranked table."""
-    if rows > TOP_K_LIMIT:
-        raise ValueError(f"A single-file export is limited to {TOP_K_LIMIT} rows; use write_table instead.")
-    df.limit(rows).coalesce(1).write.mode("overwrite").option("header", True).csv(path)
+def write_top_rows(df: DataFrame, path: str, rows: int, order_by: Sequence[Column] = ()) -> str:
+    """CSV with the first ``rows`` of a ranked table: one file up to ``ONE_FILE_ROWS``.
+
+    Beyond it the rows are numbered by ``order_by`` over sorted ranges and written as several files in that order, so
+    that no task holds them all.
+    """
+    if rows <= ONE_FILE_ROWS:
+        top = (df.orderBy(*order_by) if order_by else df).limit(rows).coalesce(1)
+    elif not order_by:
+        raise ValueError(f"{rows} rows do not go into one file (at most {ONE_FILE_ROWS}); say by which columns they are ordered")
+    else:
+        numbered = running_total(df, list(order_by), out="_place").filter(F.col("_place") <= rows)
+        top = numbered.repartitionByRange(-(-rows // ONE_FILE_ROWS), "_place").sortWithinPartitions("_place").drop("_place")
+    top.write.mode("overwrite").option("header", True).csv(path)
     return path
 
 

@@ -26,7 +26,7 @@ def test_error_rows(spark):
     assert by[analytics.PERCENT] == pytest.approx({"a": 20.0, "d": 25.0})
     assert by[analytics.SIGNED] == {"a": 2.0, "b": 1.0, "d": -1.0}
     assert analytics.zero_target_rows(df, "y").first()[0] == 2
-    with pytest.raises(ValueError, match="Unknown error measure"):
+    with pytest.raises(ValueError, match="errors are measured as"):
         analytics.error_rows(df, "y", "p", "other")
 
 

@@ -84,7 +84,9 @@ def test_ordinal_codes(spark, limit):
     assert [(r["c"], r["f"]) for r in rows] == [(1, 1), (-1, 0), (0, -1), (1, 1), (2, 1)]
 
 
-def test_dedupe_keeps_first_by_key(spark):
+@pytest.mark.parametrize("wide", [0, 1000])
+def test_dedupe_keeps_first_by_key(spark, monkeypatch, wide):
+    monkeypatch.setattr(encode, "WIDE_BYTES", wide)
     rows = [("p3", 1.0, "a"), ("p1", 1.0, "a"), ("p2", 2.0, None), ("p4", 2.0, None), ("p5", -0.0, "z"), ("p6", 0.0, "z")]
     df = spark.createDataFrame(rows * 3, "NroPoliza string, v double, t string")
     kept = encode.drop_duplicates_keep_first(df, ["NroPoliza"])
@@ -92,6 +94,61 @@ def test_dedupe_keeps_first_by_key(spark):
     assert kept.columns == df.columns
 
 
+def test_dedupe_compares_whole_rows_only_where_a_fingerprint_repeats(spark, monkeypatch):
+    monkeypatch.setattr(encode, "WIDE_BYTES", 0)
+    rows = [(f"p{i}", i % 40, "x" if i % 3 else None) for i in range(200)] + [(f"u{i}", 1000 + i, "y") for i in range(50)]
+    df = spark.createDataFrame(rows * 2, "id string, v int, t string").repartition(4)
+    kept = encode.drop_duplicates_keep_first(df, ["id"])
+    first = {}
+    for i, *rest in sorted(rows):
+        first.setdefault(tuple(rest), i)
+    assert sorted(map(tuple, kept.collect()), key=str) == sorted([(i, *rest) for rest, i in first.items()], key=str)
+    plan = kept._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in plan and "Exchange hashpartitioning" not in plan
+    unique = df.dropDuplicates()
+    assert encode.drop_duplicates_keep_first(unique.filter("v >= 1000"), ["id"]).count() == 50
+
+
+def test_rows_with_one_fingerprint_that_differ_are_kept_apart(spark, monkeypatch):
+    monkeypatch.setattr(encode, "WIDE_BYTES", 0)
+    monkeypatch.setattr(encode.F, "xxhash64", lambda *columns: F.lit(7).cast("long"))
+    df = spark.createDataFrame([("b", 1), ("a", 1), ("c", 2), ("d", None)], "id string, v int")
+    kept = encode.drop_duplicates_keep_first(df, ["id"]).collect()
+    assert sorted(map(tuple, kept)) == [("a", 1), ("c", 2), ("d", None)]
+
+
+def test_numbers_of_tags_and_pairs_beyond_the_columns_of_a_plan(spark):
+    n = encode.MAX_ENCODED_COLUMNS + 1
+    raw = spark.range(n).selectExpr(
+        "concat('P', id) AS NroPoliza", "concat('T', id) AS Pol6TTaCod", "CAST(1 AS INT) AS Cobertura",
+        "concat(id, ', common, ', id, ',', id % 7) AS Accesorios", "CAST(id AS DOUBLE) AS PrimaRC", "CAST(id AS DOUBLE) AS Prima",
+    )
+    built = encode_portfolio(raw)
+    assert built.tags == built.pairs == []
+    assert set(built.data.columns) == {
+        "NroPoliza", "Pol6TTaCod", "CoberturaLabel", encode.TAG_POSITIONS, encode.PAIR_POSITION, "PrimaRC", "Prima"
+    }
+    rows = built.with_vectors().orderBy("PrimaRC").collect()
+    # Digits by value come first, so tag i has the number i; "common" is the last.
+    pairs = {f"T{i}__A": k for k, i in enumerate(sorted(range(n), key=lambda i: f"T{i}__A"))}
+    assert len(rows) == n
+    for i in (0, 3, 7, 8, 4321, n - 1):
+        vector = rows[i]["features"]
+        assert vector.size == 2 * n + 1
+        assert list(vector.indices) == sorted({i, i % 7, n}) + [n + 1 + pairs[f"T{i}__A"]] and set(vector.values) == {1.0}
+    plan = built.data._jdf.queryExecution().optimizedPlan().toString()
+    assert "Accesorios_5" not in plan and "TariffCoverage_T5" not in plan
+
+
+def test_tag_positions_of_missing_and_unknown_tags(spark):
+    df = spark.createDataFrame([(1, "16, 2"), (2, "x, 016, x"), (3, None), (4, " , ")], "i int, Accesorios string")
+    known = encode.fit_tag_dictionary(df)
+    assert {r["value"]: r["number"] for r in known.collect()} == {t: i for i, t in enumerate(encode.fit_tags(df))}
+    found = encode.tag_positions(df.union(spark.createDataFrame([(5, "2, new")], df.schema)), known)
+    rows = {r["i"]: r[encode.TAG_POSITIONS] for r in found.collect()}
+    assert rows == {1: [0, 1], 2: [1, 2], 3: [], 4: [], 5: [0]}
+
+
 def test_unused_columns(spark):
     df = spark.createDataFrame([(1, 0), (0, 0)], "`TariffCoverage_X__A.1` int, b int")
     assert encode.unused_columns(df, df.columns) == ["b"]

@@ -1,9 +1,11 @@
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from premiumscope.operators import models, search
+from premiumscope.operators import joint, metrics, models, search
+from premiumscope.operators.scaling import fit_scaling
 from premiumscope.operators.split import stratified_folds
 
 COMPONENTS = ["PrimaRC", "PrimaCasco"]
@@ -19,17 +21,18 @@ def rows(spark):
     return spark.createDataFrame(data, schema).withColumn("Prima", F.expr("PrimaRC + PrimaCasco")).cache()
 
 
-@pytest.mark.parametrize("kind, params", [("random_forest", {"n_estimators": 3, "max_depth": None}), ("extra_trees", {"n_estimators": 3}), ("tweedie", {"weight_decay": 0.01})])
+@pytest.mark.parametrize("kind, params", [("random_forest", {"n_estimators": 3, "max_depth": None}), ("extra_trees", {"n_estimators": 3}), ("tweedie", {"weight_decay": 0.01}), ("pytorch", {"max_epochs": 5})])
 def test_families_are_nonnegative_and_survive_saving(spark, rows, tmp_path, kind, params):
-    scaler = "robust" if kind == "tweedie" else "none"
+    scaler = "robust" if kind in models.SMOOTH else "none"
     model = models.fit_spark_model(rows, ["Fea.ture"], COMPONENTS, kind, scaler, params)
     outputs = models.component_outputs(COMPONENTS)
     scored = model.score(rows, outputs)
     assert set(scored.columns) == {*rows.columns, *outputs.values()}
     first = sorted(map(tuple, scored.collect()))
     assert all(value >= 0 for row in first for value in row[-2:])
-    model.save(str(tmp_path / "m"))
-    loaded = models.SparkModelScorer.load(spark, str(tmp_path / "m"))
+    models.save_scorer(model, str(tmp_path / "m"))
+    loaded = models.load_scorer(spark, str(tmp_path / "m"))
+    assert type(loaded) is type(model)
     assert loaded.features == ["Fea.ture"] and loaded.components == COMPONENTS
     assert sorted(map(tuple, loaded.score(rows, outputs).collect())) == first
 
@@ -38,16 +41,87 @@ def test_configuration_names_are_translated():
     found = models.estimator_parameters("random_forest", {"n_estimators": 350, "max_depth": 48, "max_features": 0.7, "max_samples": None, "criterion": "squared_error", "min_samples_split": 2, "n_jobs": -1, "min_samples_leaf": 3})
     assert (found["numTrees"], found["maxDepth"], found["featureSubsetStrategy"], found["subsamplingRate"], found["bootstrap"], found["minInstancesPerNode"]) == (350, 30, "0.7", 1.0, True, 3)
     assert models.estimator_parameters("extra_trees", {})["bootstrap"] is False
-    assert models.estimator_parameters("extra_trees", {"n_estimators": 9})["numTrees"] == 1
-    assert models.estimator_parameters("extra_trees", {"n_estimators": 9, "max_features": 1})["numTrees"] == 9
-    network = {"hidden_units": 64, "hidden_layers": 2, "learning_rate": 0.001, "weight_decay": 1e-4, "batch_size": 256, "final_weight": 0.5, "max_epochs": 250, "patience": 25}
-    assert models.estimator_parameters("pytorch", network)["regParam"] == 1e-4
-    with pytest.raises(ValueError, match="Unknown parameters"):
+    assert models.estimator_parameters("extra_trees", {"n_estimators": 9})["numTrees"] == 9
+    network = {"hidden_units": 64, "hidden_layers": 2, "learning_rate": 0.001, "weight_decay": 1e-5, "batch_size": 256, "final_weight": 0.25, "max_epochs": 250, "patience": 25}
+    assert models.estimator_parameters("pytorch", network) == {"weight_decay": 1e-5, "max_epochs": 250, "final_weight": 0.25}
+    assert set(models.adjusted_parameters("pytorch", network)) == {"hidden_units", "hidden_layers", "learning_rate", "batch_size", "patience"}
+    assert models.adjusted_parameters("random_forest", {"max_depth": 48, "criterion": "x"}) == {"criterion": "no effect", "max_depth": "48 becomes 30"}
+    assert models.adjusted_parameters("extra_trees", {"max_depth": 12}) == {}
+    with pytest.raises(ValueError, match="no parameters"):
         models.estimator_parameters("random_forest", {"nope": 1})
-    with pytest.raises(ValueError, match="Unsupported model type"):
+    with pytest.raises(ValueError, match="no model family"):
         models.estimator_parameters("boosting", {})
-    with pytest.raises(ValueError, match="Unsupported scaler"):
-        models.build_pipeline(["a"], ["b"], "random_forest", "log")
+
+
+def test_scalers_are_exact(spark):
+    rng = np.random.default_rng(1)
+    x, y = rng.normal(5, 3, 900), rng.integers(0, 40, 900).astype(float)
+    df = spark.createDataFrame([(float(a), float(b), 2.5, None) for a, b in zip(x, y)] + [(None, None, None, None)], "x double, y double, c double, n double")
+    for kind, centre, spread in (
+        ("standard", np.mean, np.std), ("minmax", np.min, np.ptp),
+        ("robust", np.median, lambda v: np.subtract(*np.quantile(v, [0.75, 0.25]))),
+    ):
+        found = fit_scaling(df, ["x", "y", "c", "n"], kind)
+        for name, values in (("x", x), ("y", y)):
+            assert found.centre[name] == pytest.approx(centre(values)) and found.spread[name] == pytest.approx(spread(values))
+        assert {r["c"] for r in found.apply(df).collect()} == {0.0, None} and found.spread["n"] == 1.0
+    with pytest.raises(ValueError, match="unknown scaler"):
+        fit_scaling(df, ["x"], "log")
+
+
+def test_trees_without_row_draws_differ(spark):
+    rng = np.random.default_rng(2)
+    data = [(float(a), float(b), float(a * 3 + b * b)) for a, b in rng.normal(size=(400, 2))]
+    df = spark.createDataFrame(data, "a double, b double, PrimaRC double").cache()
+    params = {"n_estimators": 5, "max_depth": 5, "bootstrap": False, "max_features": 1.0}
+    scorer = models.fit_spark_model(df, ["a", "b"], ["PrimaRC"], "extra_trees", params=params)
+    forest = scorer.pipeline.stages[-1]
+    assert len({tree.toDebugString.split("\n", 1)[1] for tree in forest.trees}) == 5
+    again = models.fit_spark_model(df, ["a", "b"], ["PrimaRC"], "extra_trees", params=params)
+    assert again.pipeline.stages[-1].toDebugString.split("\n", 1)[1] == forest.toDebugString.split("\n", 1)[1]
+    error = scorer.score(df, {"PrimaRC": "p"}).selectExpr("avg(pow(p - PrimaRC, 2)) / var_pop(PrimaRC)").first()[0]
+    assert error < 0.2
+
+
+def _balanced(df, names):
+    return metrics.balanced_mse(df, COMPONENTS, names, 0.5).first()[0]
+
+
+def test_joint_fit_lowers_the_shared_loss(spark):
+    """Components that make up for each other: a joint fit beats one fit per component on the balanced error."""
+    rng = np.random.default_rng(3)
+    n = 1500
+    x, g = rng.normal(size=(n, 2)), rng.integers(0, 6, n)
+    level = np.exp(0.4 * x[:, 0] - 0.2 * x[:, 1] + np.array([0.0, 0.3, -0.4, 0.8, 0.1, -0.2])[g])
+    share = 1 / (1 + np.exp(2 * x[:, 1] ** 2 - 1))
+    rows = [(float(a), float(b), [int(k)], float(100 * v * s), float(100 * v * (1 - s))) for (a, b), k, v, s in zip(x, g, level, share)]
+    df = spark.createDataFrame(rows, "a double, b double, g array<long>, PrimaRC double, PrimaCasco double").repartition(4).cache()
+    blocks = [joint.Block("g", 6)]
+    both = joint.fit_joint(df, ["a", "b"], COMPONENTS, blocks, weight_decay=1e-6, max_epochs=60)
+    outputs = models.component_outputs(COMPONENTS)
+    together = _balanced(both.score(df, outputs), list(outputs.values()))
+    single = df
+    for c in COMPONENTS:
+        single = joint.fit_joint(df, ["a", "b"], [c], blocks, weight_decay=1e-6, max_epochs=60).score(single, outputs)
+    assert together < _balanced(single, list(outputs.values())) and together < 0.5
+    wide = joint.fit_joint(df.withColumn("g", F.transform("g", lambda p: p * 4000)), ["a"], COMPONENTS, [joint.Block("g", 20_001)], max_epochs=3)
+    assert wide.weights.shape == (2, 20_003)
+    with pytest.raises(ValueError, match="below zero"):
+        joint.fit_joint(df.withColumn("PrimaRC", -F.col("PrimaRC")), ["a"], COMPONENTS)
+
+
+def test_gradient_of_the_joint_loss(spark):
+    rng = np.random.default_rng(4)
+    rows = [(float(a), [int(k), int(k) + 3], float(p), float(q)) for a, k, p, q in zip(rng.normal(size=60), rng.integers(0, 3, 60), rng.uniform(1, 9, 60), rng.uniform(0, 5, 60))]
+    df = spark.createDataFrame(rows, "x0 double, b0 array<long>, y0 double, y1 double").repartition(3)
+    objective = joint._Objective(df, 1, [joint.Block("g", 6)], 2, 0.3, 0.01)
+    at = rng.normal(size=16) * 0.3
+    value, gradient = objective(at)
+    for i in (0, 1, 4, 9, 13):
+        step = np.zeros(16)
+        step[i] = 1e-5
+        slope = (objective(at + step)[0] - objective(at - step)[0]) / 2e-5
+        assert gradient[i] == pytest.approx(slope, rel=1e-4, abs=1e-7)
 
 
 def test_grid_and_sampling():
@@ -66,7 +140,7 @@ def test_grid_and_sampling():
         drawn = search.sample_parameters(space, rng)
         assert drawn["i"] in range(300, 901, 50) and 1 <= drawn["l"] <= 100 and 1e-8 <= drawn["g"] <= 1e-3
         assert 0.7 <= drawn["f"] <= 1.0 and 0 <= drawn["h"] <= 1 and drawn["c"] in (None, 12) and drawn["k"] in ("sqrt", 0.2)
-    with pytest.raises(ValueError, match="Unsupported search parameter"):
+    with pytest.raises(ValueError, match="is of the kind"):
         search.sample_parameters({"z": {"type": "date"}}, rng)
 
 
@@ -102,11 +176,11 @@ def test_search_returns_out_of_fold_scores(spark, rows):
     assert search.best_per_model_type(results) == results
     trials = search.trials_table(spark, results)
     assert search.best_trials(trials).first()["trial"] == best.trial
-    with pytest.raises(ValueError, match="enabled models"):
+    with pytest.raises(ValueError, match="none that is enabled"):
         search.search_models(rows, ["Fea.ture"], COMPONENTS, groups, ["NroPoliza"], {**config, "models": []})
-    with pytest.raises(ValueError, match="search.method"):
+    with pytest.raises(ValueError, match="search.method is"):
         search.search_models(rows, ["Fea.ture"], COMPONENTS, groups, ["NroPoliza"], {**config, "search": {"method": "x"}})
-    with pytest.raises(ValueError, match="n_splits"):
+    with pytest.raises(ValueError, match="too few for 9 folds"):
         search.search_models(rows, ["Fea.ture"], COMPONENTS, groups, ["NroPoliza"], {**config, "cv": {"n_splits": 9}})
 
 

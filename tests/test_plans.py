@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from premiumscope.catalogue import views as v
 from premiumscope.operators import analytics
-from premiumscope.operators.models import SparkModelScorer
+from premiumscope.operators.models import load_scorer
 from premiumscope.plans import build, counterfactual, error_report, train
 from premiumscope.sources import readers, writers
 
@@ -65,7 +65,7 @@ def test_csv_to_impact_tables(spark, raw, tmp_path):
     assert percent["excluded"].first()[0] == stored.filter("PrimaCasco = 0").count()
     signed = error_report.error_report(stored, "", mode=analytics.SIGNED, rows=3)
     assert signed["summary"].first()["policies"] == clean.count()
-    with pytest.raises(ValueError, match="No finite errors"):
+    with pytest.raises(ValueError, match="no row with a finite"):
         error_report.error_report(stored, "Prima < 0")
 
     scenario = {
@@ -83,12 +83,12 @@ def test_csv_to_impact_tables(spark, raw, tmp_path):
     assert report["kpis"].first()["policies"] == table.count() and report["furthest"].count() == 4
     assert [r["component"] for r in report["contributions"].collect()] == ["PrimaRC", "PrimaCasco"]
     assert report["cdf"].agg(F.max("share")).first()[0] == 1.0
-    model = SparkModelScorer.load(spark, f"{root}/random_forest/model")
+    model = load_scorer(spark, f"{root}/random_forest/model")
     with pytest.raises(ValueError, match="component_target_columns"):
         counterfactual.run_scenario(model, clean, scenario, {})
-    with pytest.raises(ValueError, match="shape"):
+    with pytest.raises(ValueError, match="the scorer predicts"):
         counterfactual.run_scenario(model, clean, scenario, {"component_target_columns": ["PrimaRC"]})
-    with pytest.raises(ValueError, match="matching"):
+    with pytest.raises(ValueError, match="no pair of scenario premiums"):
         counterfactual.impact_report(clean)
 
 
@@ -102,11 +102,28 @@ def test_sinks(spark, tmp_path):
     assert [r["NroPoliza"] for r in writers.by_error(stored).collect()][:2] == ["c", "a"]
     writers.write_top_rows(stored.orderBy("NroPoliza"), str(tmp_path / "top"), 2)
     assert len(list((tmp_path / "top").glob("part-*.csv"))) == 1
-    with pytest.raises(ValueError, match="limited"):
+    with pytest.raises(ValueError, match="do not go into one file"):
         writers.write_top_rows(stored, str(tmp_path / "top2"), 10**9)
-    for run in ("r1", "r2"):
+    for run in ("r1", "r2", "r1"):
         writers.write_metrics(df.limit(1), str(tmp_path / "m"), run)
-    assert readers.read_metrics(spark, str(tmp_path / "m")).select("run_id").distinct().count() == 2
+    logged = readers.read_metrics(spark, str(tmp_path / "m"))
+    assert sorted(r["run_id"] for r in logged.collect()) == ["r1", "r2"]
+
+
+def test_ranked_exports_in_several_files(spark, tmp_path, monkeypatch):
+    rows = [(f"k{i:04}", float(i * 37 % 1000) if i % 50 else None) for i in range(1000)]
+    df = spark.createDataFrame(rows, "NroPoliza string, `Absolute Percent Error` double").repartition(5)
+    expected = [k for k, e in sorted(rows, key=lambda r: (r[1] is None, -(r[1] or 0), r[0]))]
+    path = writers.write_sorted_by_error(df, str(tmp_path / "sorted"))
+    back = spark.read.option("header", True).csv(path)
+    assert [r["NroPoliza"] for r in back.orderBy(F.col(writers.ERROR_RANK).cast("int")).collect()] == expected
+    monkeypatch.setattr(writers, "ONE_FILE_ROWS", 100)
+    order = [F.col("`Absolute Percent Error`").desc_nulls_last(), F.col("NroPoliza")]
+    path = writers.write_top_rows(df, str(tmp_path / "top"), 350, order)
+    files = sorted((tmp_path / "top").glob("part-*.csv"))
+    assert len(files) > 1
+    found = [r["NroPoliza"] for f in files for r in spark.read.option("header", True).csv(str(f)).collect()]
+    assert found == expected[:350]
 
 
 def plan_of(df):
@@ -119,7 +136,9 @@ def test_plans_stay_in_the_engine(spark):
         assert "Python" not in plan and "CartesianProduct" not in plan and "NestedLoop" not in plan
     # Labelling a split moves no row of the large side: joins are broadcasts, nothing is exchanged by hash.
     assert "hashpartitioning" not in plan_of(v.split(spark, SF))
-    assert "hashpartitioning" not in plan_of(v.clean(spark, SF).select("NroPoliza"))
+    # The only exchange of the clean rows is the one that deals out a small table.
+    plan = plan_of(v.clean(spark, SF).select("NroPoliza"))
+    assert plan.count("hashpartitioning") == plan.count("REPARTITION_BY_NUM") <= 1
 
 
 def test_scan_reads_only_needed_columns(spark, tmp_path):

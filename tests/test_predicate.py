@@ -5,6 +5,7 @@ import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
+from premiumscope.functions.numeric import nan_to_null
 from premiumscope.operators import predicate
 
 ROWS = [
@@ -82,6 +83,30 @@ def test_errors(frame, expression):
         predicate.select_rows(frame, expression)
 
 
+def test_all_problems_are_named_with_their_place(frame):
+    bad = {"any": [{"field": "zz", "op": "eq", "value": 1}, {"not": {"all": [{"field": "n", "op": "lt", "value": "a"}, {"field": "t"}]}}]}
+    with pytest.raises(ValueError) as error:
+        predicate.select_rows(frame, bad)
+    for place in ("selection.any[0].field", "selection.any[1].not.all[0]", "selection.any[1].not.all[1].op"):
+        assert place in str(error.value)
+
+
+def test_raw_columns_may_hold_nan(spark, tmp_path):
+    rows = [(0, 1.0), (1, math.nan), (2, None), (3, 5.0), (4, -2.0)]
+    path = str(tmp_path / "raw.parquet")
+    spark.createDataFrame(rows, "id int, n double").write.parquet(path)
+    raw = spark.read.parquet(path)
+    clean = nan_to_null(raw)
+    for expression in (
+        {"field": "n", "op": "gt", "value": 0}, {"not": {"field": "n", "op": "gt", "value": 0}}, {"field": "n", "op": "is_null"},
+        {"field": "n", "op": "not_null"}, {"field": "n", "op": "ne", "value": 1}, {"field": "n", "op": "not_in", "values": [5]},
+        {"field": "n", "op": "between", "lower": -3, "upper": 2}, {"field": "n", "op": "eq", "value": math.nan},
+    ):
+        assert ids(predicate.select_raw_rows(raw, expression)) == ids(predicate.select_rows(clean, expression)), expression
+    plan = predicate.select_raw_rows(raw, {"field": "n", "op": "gt", "value": 0})._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThan(n,0.0)" in plan.split("PushedFilters")[1]
+
+
 COMPARE = {"eq": operator.eq, "ne": operator.ne, "gt": operator.gt, "gte": operator.ge, "lt": operator.lt, "lte": operator.le}
 
 
@@ -142,7 +167,7 @@ def test_free_filter(frame):
     assert ids(predicate.free_filter(frame, "`n` >= 2 AND t IN ('X', 'Z')")) == [1, 6]
     assert len(ids(predicate.free_filter(frame, "  "))) == 8
     for bad in ("nope = 1", "n >="):
-        with pytest.raises(ValueError, match="Invalid filter query"):
+        with pytest.raises(ValueError, match="is no condition"):
             predicate.free_filter(frame, bad)
 
 
