@@ -95,31 +95,35 @@ PAIR_TOTALS = {f"Prima_{kind}": " + ".join(PAIR_PREMIUMS[f"{c}_{kind}"] for c in
 @query(
     "C8_scenario_from_paths",
     sql(
-        f"""SELECT 'formula' AS kind, NroPoliza, {r('TasaCasco_Counterfactual', 'TasaCasco_Counterfactual')}, {", ".join(r(n, n, 4) for n in BOTH)}
+        f"""SELECT 'formula' AS kind, NroPoliza, {r('TasaCasco_Counterfactual', 'TasaCasco_Counterfactual')}, {", ".join(r(n, n) for n in BOTH)}
             FROM counterfactual WHERE TasaCasco >= 0.02
             UNION ALL
-            SELECT 'pair means', NroPoliza, {r('TasaCasco_Counterfactual', 'TasaCasco_Counterfactual')},
-                   {", ".join(r({**PAIR_PREMIUMS, **PAIR_TOTALS}[n], n, 4) for n in BOTH)}
+            SELECT 'pair means', NroPoliza, NULL,
+                   {", ".join(r({**PAIR_PREMIUMS, **PAIR_TOTALS}[n], n) for n in BOTH)}
             FROM selected JOIN (SELECT Pol6TTaCod, CoberturaLabel, {PAIR_PRICED} FROM clean GROUP BY ALL) m USING (Pol6TTaCod, CoberturaLabel)
             WHERE TasaCasco >= 0.02""",
     ),
 )
 def scenario_from_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Saved scorers of two kinds, a stored dataset with NaN in it and a scenario file to stored tables."""
+    """Saved scorers of two kinds, a stored dataset with NaN in it and scenario files to stored tables. Pair means read
+    no feature that could be changed."""
     root = f"{checkpoint_root(spark)}/catalogue/{uuid.uuid4().hex}"
     rows = v.numeric_clean(spark, sf_dir).withColumn("unused", F.when(F.col("antig") > 3, F.lit(float("nan"))).otherwise(F.lit(1.0)))
     rows.write.parquet(f"{root}/clean.parquet")
     selection = {"all": [v.SCENARIO["selection"], {"field": "TasaCasco", "op": "gte", "value": 0.02}]}
-    text = json.dumps({**v.SCENARIO, "selection": selection})
-    spark.createDataFrame([(text,)], "value string").coalesce(1).write.text(f"{root}/scenario")
     config = {"component_target_columns": list(COMPONENTS), "target_column": "Prima"}
     scorers = {"formula": v.formula_scorer(), "pair means": PairMeanScorer(v.clean(spark, sf_dir), v.SPEC.strata, v.COMPONENTS, v.MONEY)}
     tables = []
     for kind, scorer in scorers.items():
         model, output = f"{root}/{kind.replace(' ', '_')}", f"{root}/{kind.replace(' ', '_')}.parquet"
         save_scorer(scorer, model)
-        table = run_scenario_from_paths(spark, model, f"{root}/clean.parquet", f"{root}/scenario", config, output)
-        tables.append(rounded(table.select(F.lit(kind).alias("kind"), "NroPoliza", "TasaCasco_Counterfactual", *BOTH), 4, TasaCasco_Counterfactual=6))
+        changes = v.SCENARIO["feature_changes"] if scorer.features else []
+        text = json.dumps({**v.SCENARIO, "selection": selection, "feature_changes": changes})
+        spark.createDataFrame([(text,)], "value string").coalesce(1).write.text(f"{model}/scenario")
+        table = run_scenario_from_paths(spark, model, f"{root}/clean.parquet", f"{model}/scenario", config, output)
+        if not changes:
+            table = table.withColumn("TasaCasco_Counterfactual", F.lit(None).cast("double"))
+        tables.append(rounded(table.select(F.lit(kind).alias("kind"), "NroPoliza", "TasaCasco_Counterfactual", *BOTH)))
     return tables[0].unionByName(tables[1])
 
 

@@ -57,7 +57,7 @@ def fitted_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "M4_pair_line_scores",
-    sql(f"""SELECT Pol6TTaCod, CoberturaLabel, {r('avg(greatest(0, a + b * SumaAsegurada))', 'mean_prediction', 3)}, count(*) AS "rows"
+    sql(f"""SELECT Pol6TTaCod, CoberturaLabel, {r('avg(greatest(0, a + b * SumaAsegurada)) + 1e-7', 'mean_prediction', 3)}, count(*) AS "rows"
             FROM clean JOIN (SELECT Pol6TTaCod, CoberturaLabel, regr_intercept(PrimaCasco, SumaAsegurada) AS a,
                                     regr_slope(PrimaCasco, SumaAsegurada) AS b FROM clean GROUP BY ALL) USING (Pol6TTaCod, CoberturaLabel)
             GROUP BY ALL"""),
@@ -68,7 +68,7 @@ def pair_line_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = scorer.score(rows, {"PrimaCasco": "p"})
     return rounded(
         scored.groupBy("Pol6TTaCod", "CoberturaLabel").agg(
-            F.avg("p").alias("mean_prediction"), F.count(F.lit(1)).alias("rows")
+            (F.avg("p") + 1e-7).alias("mean_prediction"), F.count(F.lit(1)).alias("rows")  # means may lie on a half
         ),
         3,
     )
