@@ -180,6 +180,8 @@ def test_search_returns_out_of_fold_scores(spark, rows):
         search.search_models(rows, ["Fea.ture"], COMPONENTS, groups, ["NroPoliza"], {**config, "models": []})
     with pytest.raises(ValueError, match="search.method is"):
         search.search_models(rows, ["Fea.ture"], COMPONENTS, groups, ["NroPoliza"], {**config, "search": {"method": "x"}})
+    with pytest.raises(ValueError, match="cv.shuffle"):
+        search.search_models(rows, ["Fea.ture"], COMPONENTS, groups, ["NroPoliza"], {**config, "cv": {"n_splits": 3, "shuffle": False}})
     with pytest.raises(ValueError, match="too few for 9 folds"):
         search.search_models(rows, ["Fea.ture"], COMPONENTS, groups, ["NroPoliza"], {**config, "cv": {"n_splits": 9}})
 
