@@ -111,13 +111,17 @@ def clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return triaged(spark, sf_dir).clean
 
 
+def stored_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The clean rows over labelled rows that are written once: pair counts, cut search, labelling and fitting read them."""
+    return triage(materialise(labelled(spark, sf_dir)), COMPONENTS, TOTAL, min_pair_count=MIN_PAIR).clean
+
+
 def split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The clean rows are written once: the search of the cuts, labelling and fitting all read them."""
-    return stratified_holdout(materialise(clean(spark, sf_dir)), SPEC.strata, [ID], TEST_SIZE, SEED)
+    return stratified_holdout(stored_clean(spark, sf_dir), SPEC.strata, [ID], TEST_SIZE, SEED)
 
 
 def folded(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stratified_folds(materialise(clean(spark, sf_dir)), SPEC.strata, [ID], FOLDS, SEED)
+    return stratified_folds(stored_clean(spark, sf_dir), SPEC.strata, [ID], FOLDS, SEED)
 
 
 def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
