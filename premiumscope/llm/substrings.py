@@ -67,18 +67,18 @@ def _settle(key: np.ndarray, *order: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def _seeds(width: int):
-    schema = pa.schema([("key", pa.int64()), ("anchor", pa.int64()), ("doc", pa.int64()), ("print", pa.int64()), ("sure", pa.bool_())])
+    schema = pa.schema([("key", pa.int64()), ("anchor", pa.int64()), ("row", pa.int64()), ("sure", pa.bool_())])
 
-    def settled(chunk: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
-        anchor, doc, text = (np.concatenate(c) for c in zip(*chunk))
-        rows, first = _settle(anchor, doc, text)
-        anchor, doc, text = anchor[rows], doc[rows], text[rows]
+    def settled(chunk: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        anchor, row = (np.concatenate(c) for c in zip(*chunk))
+        rows, first = _settle(anchor, row)
+        anchor, row = anchor[rows], row[rows]
         again = ~first
         again[:-1] |= ~first[1:]  # the first of several is repeated too
-        key = np.where(first, anchor, doc ^ text ^ np.int64(0x5DEECE66D))
+        key = np.where(first, anchor, row)
         distinct = np.ones(len(rows), dtype=bool)
-        distinct[1:] = first[1:] | (doc[1:] != doc[:-1]) | (text[1:] != text[:-1])
-        parts = [key[distinct], anchor[distinct], doc[distinct], text[distinct], again[distinct]]
+        distinct[1:] = first[1:] | (row[1:] != row[:-1])
+        parts = [key[distinct], anchor[distinct], row[distinct], again[distinct]]
         return pa.record_batch([pa.array(part) for part in parts], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -97,7 +97,7 @@ def _seeds(width: int):
             edge = np.zeros(size - 1, dtype=np.uint64)
             place = np.flatnonzero((_slide(np.concatenate((edge, inside, edge)), size, np.maximum) == runs) & (runs > 0))
             owner = np.searchsorted(words.first, place, side="right") - 1
-            chunk.append((runs[place].view(np.int64), _ids(batch)[owner], batch.column("print").to_numpy()[owner]))
+            chunk.append((runs[place].view(np.int64), batch.column("row").to_numpy()[owner]))
             held += len(place)
             if held >= CHUNK:
                 yield settled(chunk)
@@ -192,23 +192,23 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, with_text: bool = False)
     """
     scratch = Scratch(docs.sparkSession, "substrings")
     texts = documents_of(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long"))
-    texts = texts.withColumn("print", F.xxhash64("text"))
+    # Rows meet their anchors by one hash: a collision would only add anchors that a text does not hold.
+    texts = texts.withColumns({"print": F.xxhash64("text"), "row": F.xxhash64("doc_id", "text")})
     last = F.coalesce("doc_id", F.lit(2**63 - 1)).alias("doc")
-    row = ["doc", "print"]
 
-    seeds = texts.mapInArrow(_seeds(width), "key long, anchor long, doc long, print long, sure boolean")
+    seeds = texts.mapInArrow(_seeds(width), "key long, anchor long, row long, sure boolean")
     same = Window.partitionBy("key")
     seen = seeds.withColumn("times", F.count(F.when(~F.col("sure") | (F.col("key") == F.col("anchor")), True)).over(same))
-    again = seen.filter("sure OR times > 1").groupBy(*row).agg(F.collect_set("anchor").alias("anchors"))
+    again = seen.filter("sure OR times > 1").groupBy("row").agg(F.collect_set("anchor").alias("anchors"))
     again = scratch.keep(again)
 
-    held = texts.select(last, "doc_id", "text", "print").join(again, row).select("doc_id", "text", "print", "anchors")
+    held = texts.join(again, "row").select("doc_id", "text", "print", "anchors")
     windows = held.mapInArrow(_windows(width), "key long, doc long, print long, start int, sure boolean")
     first = F.min(F.when(~F.col("sure"), F.struct("doc", "start"))).over(same)
     later = windows.withColumn("first", first).filter(F.col("sure") | (F.struct("doc", "start") > F.col("first")))
-    later = scratch.keep(later.groupBy(*row).agg(F.collect_set("start").alias("starts")))
+    later = scratch.keep(later.groupBy("doc", "print").agg(F.collect_set("start").alias("starts")))
 
-    marked = texts.select(last, "doc_id", "text", "print").join(later, row, "left").select("doc_id", "text", "starts")
+    marked = texts.select(last, "doc_id", "text", "print").join(later, ["doc", "print"], "left").select("doc_id", "text", "starts")
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string"
     result = marked.mapInArrow(_cut(width, with_text), schema + (", kept string, spans array<long>" if with_text else ""))
     scratch.drop(again)
