@@ -109,17 +109,18 @@ def _seeds(width: int):
 
 
 def _windows(width: int):
-    schema = pa.schema([("key", pa.int64()), ("doc", pa.int64()), ("print", pa.int64()), ("start", pa.int32()), ("sure", pa.bool_())])
+    schema = pa.schema([("key", pa.int64()), ("doc", pa.int64()), ("row", pa.int64()), ("start", pa.int32()), ("sure", pa.bool_())])
 
     def settled(chunk: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
-        window, doc, text, start = (np.concatenate(c) for c in zip(*chunk))
+        window, doc, row, start = (np.concatenate(c) for c in zip(*chunk))
         rows, first = _settle(window, doc, start)
-        window, doc, text, start = window[rows], doc[rows], text[rows], start[rows]
+        window, doc, row, start = window[rows], doc[rows], row[rows], start[rows]
         # Rows of one id at one place (a repeated row) are no earlier than each other.
         group = np.flatnonzero(first)[np.cumsum(first) - 1]
         later = (doc != doc[group]) | (start != start[group])
-        key = np.where(later, doc ^ text ^ np.int64(0x5DEECE66D), window)
-        return pa.record_batch([pa.array(part) for part in (key, doc, text, start.astype(np.int32), later)], schema=schema)
+        # What is settled travels by its row alone; its document is compared with nothing any more.
+        key, doc = np.where(later, row, window), np.where(later, 0, doc)
+        return pa.record_batch([pa.array(part) for part in (key, doc, row, start.astype(np.int32), later)], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chunk, held = [], 0
@@ -137,7 +138,7 @@ def _windows(width: int):
                 wanted[own] = np.isin(anchor[own], anchors.values.to_numpy())
             window = gram_hashes(hashes, width)[starts[wanted]].view(np.int64)
             place = (starts - words.first[:-1][text])[wanted]
-            chunk.append((window, _ids(batch)[text[wanted]], batch.column("print").to_numpy()[text[wanted]], place))
+            chunk.append((window, _ids(batch)[text[wanted]], batch.column("row").to_numpy()[text[wanted]], place))
             held += len(window)
             if held >= CHUNK:
                 yield settled(chunk)
@@ -188,13 +189,11 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, with_text: bool = False)
     as one document, and equal windows at the same place of it are not earlier than each other, so a repeated row
     changes nothing. What is removed is settled for each row by its own text: rows of one id, or without id, that hold
     different texts lose only words of their own repeated windows. Other columns are not looked at; an empty table
-    gives an empty result. Windows are compared by 64-bit fingerprints of their words, texts of one id by 64 bits.
+    gives an empty result. Windows are compared by 64-bit fingerprints of their words, rows by 64 bits of id and text.
     """
     scratch = Scratch(docs.sparkSession, "substrings")
     texts = documents_of(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long"))
-    # Rows meet their anchors by one hash: a collision would only add anchors that a text does not hold.
-    texts = texts.withColumns({"print": F.xxhash64("text"), "row": F.xxhash64("doc_id", "text")})
-    last = F.coalesce("doc_id", F.lit(2**63 - 1)).alias("doc")
+    texts = texts.withColumn("row", F.xxhash64("doc_id", "text"))
 
     seeds = texts.mapInArrow(_seeds(width), "key long, anchor long, row long, sure boolean")
     same = Window.partitionBy("key")
@@ -202,13 +201,13 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, with_text: bool = False)
     again = seen.filter("sure OR times > 1").groupBy("row").agg(F.collect_set("anchor").alias("anchors"))
     again = scratch.keep(again)
 
-    held = texts.join(again, "row").select("doc_id", "text", "print", "anchors")
-    windows = held.mapInArrow(_windows(width), "key long, doc long, print long, start int, sure boolean")
+    held = texts.join(again, "row").select("doc_id", "text", "row", "anchors")
+    windows = held.mapInArrow(_windows(width), "key long, doc long, row long, start int, sure boolean")
     first = F.min(F.when(~F.col("sure"), F.struct("doc", "start"))).over(same)
     later = windows.withColumn("first", first).filter(F.col("sure") | (F.struct("doc", "start") > F.col("first")))
-    later = scratch.keep(later.groupBy("doc", "print").agg(F.collect_set("start").alias("starts")))
+    later = scratch.keep(later.groupBy("row").agg(F.collect_set("start").alias("starts")))
 
-    marked = texts.select(last, "doc_id", "text", "print").join(later, ["doc", "print"], "left").select("doc_id", "text", "starts")
+    marked = texts.join(later, "row", "left").select("doc_id", "text", "starts")
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string"
     result = marked.mapInArrow(_cut(width, with_text), schema + (", kept string, spans array<long>" if with_text else ""))
     scratch.drop(again)
