@@ -208,3 +208,51 @@ def test_scored_table_hides_encodings(spark):
     assert [tuple(r)[2:] for r in early] == [(60.0, 25.0), (None, None)]
     with pytest.raises(ValueError, match="not assigned"):
         models.scored_table(df.drop("Dataset Split"), scorer, "Prima", "NroPoliza")
+
+
+def test_tweedie_of_all_components_is_the_library_fit_in_few_jobs(spark):
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.regression import GeneralizedLinearRegression
+
+    from premiumscope.operators import smooth
+
+    rows = spark.range(400).selectExpr(
+        "CAST(id % 7 AS DOUBLE) AS a", "id * 0.37 % 5 AS b", "3D AS c",
+        "exp(0.2D * (id % 7) + id % 3) AS p", "CAST(IF(id % 5 = 0, 0, id % 11) AS DOUBLE) AS q", "4D AS s",
+    ).localCheckpoint()
+    steps, fixed = [], {"variancePower": 1.5, "regParam": 0.01, "maxIter": 25}
+    taken, smooth._solve = smooth._solve, lambda *given: steps.append(1) or taken(*given)
+    try:
+        found = smooth.fit_tweedie(rows, [F.col(x) for x in "abc"], [F.col(y) for y in "pqs"], **fixed)
+    finally:
+        smooth._solve = taken
+    assembled = VectorAssembler(inputCols=["a", "b", "c"], outputCol="x").transform(rows)
+    passes = 0
+    for k, label in enumerate("pqs"):
+        model = GeneralizedLinearRegression(family="tweedie", linkPower=0.0, featuresCol="x", labelCol=label, **fixed).fit(assembled)
+        assert found[k].tolist() == pytest.approx([model.intercept, *model.coefficients], rel=1e-6, abs=1e-8)
+        passes += 1 + model.summary.numIterations
+    assert len(steps) // 3 < passes  # steps are shared by all targets
+
+
+def test_tweedie_refuses_missing_features_and_values_below_zero(spark):
+    rows = spark.createDataFrame([(1.0, 2.0), (2.0, 3.0), (None, 4.0)], "a double, p double")
+    with pytest.raises(Exception, match="missing"):
+        models.fit_spark_model(rows, ["a"], ["p"], "tweedie")
+    scorer = models.fit_spark_model(rows.na.drop(), ["a"], ["p"], "tweedie")
+    with pytest.raises(Exception, match="missing"):
+        scorer.score(rows, {"p": "q"}).collect()
+    with pytest.raises(Exception, match="allows"):
+        models.fit_spark_model(rows.na.drop().withColumn("p", -F.col("p")), ["a"], ["p"], "tweedie")
+
+
+def test_bins_of_a_forest_without_bootstrap_are_those_of_a_bucketizer(spark):
+    import math
+
+    from pyspark.ml.feature import Bucketizer
+
+    bounds = [-1.5, 0.1, 2.0]
+    rows = spark.createDataFrame([(x,) for x in (-9.0, -1.5, 0.0, 0.1, 2.0, 7.0, math.inf, -math.inf, math.nan)], "x double")
+    bucketizer = Bucketizer(splits=[-math.inf, *bounds, math.inf], inputCol="x", outputCol="wanted", handleInvalid="keep")
+    both = bucketizer.transform(rows).withColumn("bin", F.expr(models._bin_of("x", bounds)))
+    assert both.filter("bin <> wanted").count() == 0
