@@ -13,7 +13,7 @@ from premiumscope.catalogue.sql import r, sql
 from premiumscope.functions.labels import text_or_missing
 from premiumscope.functions.numeric import col
 from premiumscope.operators import split, validate
-from premiumscope.operators.scale import spread_join
+from premiumscope.operators.scale import materialise, spread_join
 from premiumscope.operators.split import (
     FOLD,
     joint_stratum,
@@ -225,8 +225,9 @@ REPEATED_FOLDS = (
 
 def _repeated(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows with the order as their id, which several policies share, and with two to three equal copies of some."""
-    rows = v.clean(spark, sf_dir).withColumn("policy", F.split_part(col("NroPoliza"), F.lit("-"), F.lit(1)))
-    return rows.unionByName(rows.filter("antig % 2 = 0")).unionByName(rows.filter("antig % 4 = 0"))
+    rows = v.stored_clean(spark, sf_dir).withColumn("policy", F.split_part(col("NroPoliza"), F.lit("-"), F.lit(1)))
+    again = F.expr("explode(filter(array(true, antig % 2 = 0, antig % 4 = 0), x -> x))").alias("_again")
+    return materialise(rows.select("policy", "NroPoliza", *[col(name) for name in v.SPEC.strata], again).drop("_again"))
 
 
 @query("K2_repeated_ids", sql('SELECT NroPoliza, "Dataset Split" FROM repeated_split', REPEATED.strip().rstrip(","), REPEATED_SPLIT))
