@@ -237,9 +237,9 @@ copied AS (
 )
 def dedupe_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every column compared, over rows of which half have one copy under another id and some have two."""
-    rows = v.labelled(spark, sf_dir)
+    labelled = rows = materialise(v.labelled(spark, sf_dir))
     for prefix, chosen in (("copy-", "antig % 2 = 0"), ("again-", "antig % 6 = 0")):
-        copies = v.labelled(spark, sf_dir).filter(chosen).withColumn("NroPoliza", F.concat(F.lit(prefix), "NroPoliza"))
+        copies = labelled.filter(chosen).withColumn("NroPoliza", F.concat(F.lit(prefix), "NroPoliza"))
         rows = rows.unionByName(copies)
     return encode.drop_duplicates_keep_first(rows, ["NroPoliza"])
 
@@ -407,7 +407,7 @@ brands AS (SELECT Marca, dense_rank() OVER (ORDER BY Marca) - 1 AS code FROM (SE
 )
 def encoded_dataset(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole encoder chain over all columns, with the 0/1 columns that are set listed by name; rows are unique here."""
-    data = encode_portfolio(v.portfolio(spark, sf_dir)).data
+    data = encode_portfolio(materialise(v.portfolio(spark, sf_dir))).data
     marks = [name for name in data.columns if name.startswith(("Accesorios_", "TariffCoverage_"))]
     named = F.array(*[F.when(col(name) == 1, F.lit(name)) for name in marks])
     hot = F.array_join(F.array_sort(F.array_compact(named)), "|").alias("hot")
@@ -430,7 +430,7 @@ def encoded_dataset(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def sparse_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tags and pairs numbered by a distributed dictionary and held as one sparse vector per row."""
-    built = encode_portfolio(v.portfolio(spark, sf_dir), sparse=True).with_vectors("features")
+    built = encode_portfolio(materialise(v.portfolio(spark, sf_dir)), sparse=True).with_vectors("features")
     values = vector_to_array("features")
     places = F.transform(values, lambda x, i: F.when(x == 1, i.cast("string")))
     return built.select("NroPoliza", F.size(values).alias("size"), F.array_join(F.array_compact(places), " ").alias("positions"))

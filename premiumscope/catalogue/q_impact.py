@@ -148,7 +148,7 @@ REFUSED_SCENARIOS = {
 )
 def refused_scenarios(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which scenarios are turned down when they are run on the clean table."""
-    rows = v.numeric_clean(spark, sf_dir)
+    rows = v.encode.fill_features(v.stored_clean(spark, sf_dir), v.SPEC.targets)
 
     def refused(case: object) -> bool:
         try:
