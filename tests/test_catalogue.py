@@ -27,3 +27,15 @@ def test_entry_and_names(spark):
     rows = entry(spark).collect()
     assert rows and set(rows[0].asDict()) == {"Pol6TTaCod", "CoberturaLabel", "DoubtfulReason", "rows"}
     assert set(oracle_sql()) <= set(queries())
+
+
+@pytest.mark.parametrize("name", ["K2_repeated_ids", "K3_repeated_ids", "D1_dedupe_wide", "P_encoded_dataset", "E3_sparse"])
+def test_input_is_joined_once_and_written(spark, monkeypatch, name):
+    """What these queries read in several passes is a written table, not the scan and join of the sources."""
+    from premiumscope.catalogue import views
+
+    made, kept = [], views.portfolio
+    monkeypatch.setattr(views, "portfolio", lambda *given: made.append(1) or kept(*given))
+    result = queries()[name](spark, SF)
+    assert len(made) == 1
+    assert not any("lineitem" in path for path in result.inputFiles())
