@@ -18,20 +18,19 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 from itertools import groupby
 
-import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from premiumscope.llm.boosting import fit_boosted, score
-from premiumscope.llm.common import documents_of, text_slices
+from premiumscope.llm.common import Scratch, documents_of, text_slices
 
 KINDS = ("email", "ip", "card", "phone")
 ADDED = ("email", "phone", "number", "secret")
 ORDER = {kind: i for i, kind in enumerate(("email", "ip", "card", "phone", "number", "secret"))}
-# Labelled candidates the trees are fitted on, and the share of them kept for calibration.
-SAMPLE, CALIBRATION_SHARE, PRECISION = 8_000, 0.3, 0.99
+# The share of the labelled candidates held back for calibration, the share that must be right, and the steps of a score.
+CALIBRATION_SHARE, PRECISION, STEPS = 0.3, 0.99, 10_000
 CONTEXT = 24
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -203,47 +202,70 @@ class SpanModel:
         return sorted(found, key=lambda s: (s[0], ORDER[s[2]], s[1]))
 
 
-def fit_spans(docs: DataFrame, sample: int = SAMPLE) -> SpanModel:
-    """Fit on at most ``sample`` labelled candidates: those with the smallest hash, from the whole table."""
+def _labelled(docs: DataFrame) -> DataFrame:
+    """Every labelled candidate of every text: its features, its kind and label as one number, how often it occurs in a
+    slice of texts, and whether it is held back for calibration (equal ones always together)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_slices(batches):
-            rows = []
+            counts: Counter = Counter()
             for text in batch.column("text").to_pylist():
                 if text:
-                    rows += _examples(text)
+                    counts.update((kind, tuple(row), label) for kind, row, label in _examples(text))
+            rows = [(kind, list(row), label) for kind, row, label in counts]
             mark = [int.from_bytes(hashlib.blake2b(repr(r).encode(), digest_size=7).digest(), "big") for r in rows]
             yield pa.record_batch(
-                [pa.array(mark, pa.int64()), pa.array([k for k, _, _ in rows], pa.string()),
-                 pa.array([f for _, f, _ in rows], pa.list_(pa.float64())), pa.array([y for _, _, y in rows], pa.int32())],
-                names=["mark", "kind", "row", "label"])
-
-    found = documents_of(docs, "text").mapInArrow(run, "mark long, kind string, row array<double>, label int")
-    # Each kind and label gets its share, so a frequent one does not fill the sample. Spark cuts each group to
-    # that many rows in every task before the shuffle.
-    share = max(1, sample // (2 * len(ADDED)))
-    smallest = Window.partitionBy("kind", "label").orderBy("mark")
-    rows = found.withColumn("place", F.row_number().over(smallest)).filter(F.col("place") <= share).collect()
-    rows = sorted(rows, key=lambda r: (r["mark"], r["kind"], r["label"]))
-    split = [r["mark"] % 1000 < 1000 * CALIBRATION_SHARE for r in rows]
-    learn, check = [r for r, s in zip(rows, split) if not s], [r for r, s in zip(rows, split) if s]
-    if not learn:
+                [pa.array([2 * ADDED.index(k) + y for k, _, y in rows], pa.int32()), pa.array([f for _, f, _ in rows], pa.list_(pa.float64())),
+                 pa.array([y for _, _, y in rows], pa.int32()), pa.array(list(counts.values()), pa.int64()),
+                 pa.array([m % 1000 < 1000 * CALIBRATION_SHARE for m in mark], pa.bool_())],
+                names=["part", "row", "label", "n", "held"])
+
+    return documents_of(docs, "text").mapInArrow(run, "part int, row array<double>, label int, n long, held boolean")
+
+
+def _scored(held: DataFrame, model: tuple) -> DataFrame:
+    """How many candidates of each kind and label have a score in each step; the sizes follow the steps, not the rows."""
+    shared = held.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            steps = [int(score(shared.value, row) * STEPS) for row in batch.column("row").to_pylist()]
+            yield pa.record_batch([batch.column("part"), pa.array(steps, pa.int32()), batch.column("n")], names=["part", "step", "n"])
+
+    return held.select("part", "row", "n").mapInArrow(run, "part int, step int, n long").groupBy("part", "step").agg(F.sum("n").alias("n"))
+
+
+def fit_spans(docs: DataFrame) -> SpanModel:
+    """Trees fitted on all labelled candidates of the whole table that are not held back, thresholds set on all those that are.
+
+    Repeated rows count as often as they occur; null and empty texts have no candidates. Without candidates nothing but
+    base spans is found.
+    """
+    scratch = Scratch(docs.sparkSession, "spans")
+    found = scratch.keep(_labelled(docs))
+    learn = found.filter("NOT held")
+    if learn.isEmpty():
+        scratch.drop(found)
         return SpanModel()
-    model = fit_boosted(np.array([r["row"] for r in learn]), np.array([float(r["label"]) for r in learn]))
+    model = fit_boosted(learn)
+    counts = [(r["part"], r["step"] / STEPS, r["n"]) for r in _scored(found.filter("held"), model).collect()]
+    scratch.drop(found)
     thresholds = {}
-    for kind in ADDED:
-        least = _threshold([(score(model, r["row"]), r["label"]) for r in check if r["kind"] == kind])
+    for i, kind in enumerate(ADDED):
+        least = _threshold([(p, part % 2) for part, p, _ in counts if part // 2 == i], [n for part, _, n in counts if part // 2 == i])
         if least is not None:
             thresholds[kind] = max(0.5, least)
     return SpanModel(model, thresholds)
 
 
-def _threshold(scored: list[tuple[float, int]]) -> float | None:
-    """The lowest score from which on enough are right; all rows of a score count together."""
+def _threshold(scored: list[tuple[float, int]], counts: list[int] | None = None) -> float | None:
+    """The lowest score from which on enough are right; all rows of a score count together, each as often as it occurs."""
     least, right, n = None, 0, 0
-    for p, same in groupby(sorted(scored, reverse=True), key=lambda r: r[0]):
-        labels = [label for _, label in same]
-        right, n = right + sum(labels), n + len(labels)
-        if any(labels) and right / n >= PRECISION:
+    rows = sorted(((p, label, k) for (p, label), k in zip(scored, counts or [1] * len(scored))), reverse=True)
+    for p, same in groupby(rows, key=lambda r: r[0]):
+        labels = [(label, k) for _, label, k in same]
+        good = sum(label * k for label, k in labels)
+        right, n = right + good, n + sum(k for _, k in labels)
+        if good and right / n >= PRECISION:
             least = p
     return least
 

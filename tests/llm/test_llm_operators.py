@@ -21,6 +21,7 @@ from tokenizers import Tokenizer
 
 import corpus_pipeline
 from premiumscope.llm import (
+    boosting,
     cap_filters,
     language_id,
     licences,
@@ -394,6 +395,62 @@ def test_a_threshold_counts_all_rows_of_its_score():
     assert pii._threshold([(0.8, 1), (0.8, 0)]) is None and pii._threshold([]) is None
 
 
+def test_spans_are_learned_from_every_candidate(spark):
+    rng = random.Random(8)
+    name = lambda k: "".join(rng.choice("abcdefghijklmnoprstuvw0123456789") for _ in range(k))
+    rows = [(i, f"see {name(3)} at {name(rng.randint(3, 30))}.{name(rng.randint(3, 9))} or {name(rng.randint(24, 40))}7 too") for i in range(2500)]
+    rows += [(i, f"the token = '{name(rng.randint(24, 40))}x1' and {name(5)}@{name(6)}.com") for i in range(3000, 3400)]
+    rows += [rows[0]] * 500 + [(None, rows[3][1]), (7, None), (8, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    every = [e for _, t in rows if t for e in pii._examples(t)]
+    assert min(collections.Counter((k, y) for k, _, y in every if k == "secret" and y == 0 or k == "email").values()) > 1000
+    held = [int.from_bytes(hashlib.blake2b(repr(e).encode(), digest_size=7).digest(), "big") % 1000 < 300 for e in every]
+    found = pii.fit_spans(docs)
+    share = np.mean([y for (_, _, y), h in zip(every, held) if not h])
+    assert found.model[0] == pytest.approx(np.log(share / (1 - share)))
+    for kind in pii.ADDED:
+        scored = [(int(boosting.score(found.model, f) * pii.STEPS) / pii.STEPS, y) for (k, f, y), h in zip(every, held) if h and k == kind]
+        least = pii._threshold(scored)
+        assert found.thresholds.get(kind) == (None if least is None else max(0.5, least))
+    assert pii.fit_spans(docs.repartition(3)) == found
+
+
+def test_boosted_trees_equal_plain_ones(spark):
+    rng = np.random.default_rng(3)
+    x = np.column_stack([rng.integers(0, 9, 600), rng.integers(0, 12, 600) / 4, rng.integers(0, 2, 600)]).astype(float)
+    y = ((x[:, 0] > 4) ^ (x[:, 1] > 1.6) | (rng.random(600) < 0.1)).astype(int)
+    n = rng.integers(1, 4, 600)
+
+    def grow(rows, g, h, depth):
+        leaf = (g[rows] @ n[rows] / (h[rows] @ n[rows] + 1),)
+        whole, best = leaf[0] * (g[rows] @ n[rows]), (1e-9, None)
+        if depth == 0 or n[rows].sum() < 10:
+            return leaf
+        for column in range(3):
+            for bound in np.unique(x[:, column]):
+                left, right = rows[x[rows, column] <= bound], rows[x[rows, column] > bound]
+                if min(n[left].sum(), n[right].sum()) >= 5:
+                    gain = sum((g[s] @ n[s]) ** 2 / (h[s] @ n[s] + 1) for s in (left, right)) - whole
+                    best = max(best, (gain, (column, bound, left, right)), key=lambda b: b[0])
+        if best[1] is None:
+            return leaf
+        column, bound, left, right = best[1]
+        return (column, bound, grow(left, g, h, depth - 1), grow(right, g, h, depth - 1))
+
+    share = y @ n / n.sum()
+    start = np.log(share / (1 - share))
+    total = np.full(600, start)
+    for _ in range(4):
+        p = 1 / (1 + np.exp(-total))
+        tree = grow(np.arange(600), 0.3 * (y - p), p * (1 - p), 3)
+        total += [boosting._answer(tree, row) for row in x.tolist()]
+    rows = [(int(b), a.tolist(), int(b), int(c)) for a, b, c in zip(x, y, n)]
+    frame = spark.createDataFrame(rows, "part int, row array<double>, label int, n long").repartition(5)
+    model = boosting.fit_boosted(frame, rounds=4)
+    assert [boosting.score(model, row) for row in x.tolist()] == pytest.approx(1 / (1 + np.exp(-total)), abs=1e-5)
+    assert boosting.fit_boosted(frame.filter("n > 9")) == (0.0, []) and boosting.fit_boosted(frame.filter("label = 1"))[1] == []
+
+
 def test_near_vectors(spark):
     rng = np.random.default_rng(7)
     rows, base = [], rng.standard_normal((60, 16))
