@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from premiumscope.catalogue import views as v
-from premiumscope.operators import analytics
+from premiumscope.operators import analytics, scale
 from premiumscope.operators.models import load_scorer
 from premiumscope.plans import build, counterfactual, error_report, train
 from premiumscope.sources import readers, writers
@@ -126,6 +126,24 @@ def test_ranked_exports_in_several_files(spark, tmp_path, monkeypatch):
     assert found == expected[:350]
 
 
+def test_sorted_export_moves_rows_once_and_stores_none_on_the_way(spark, tmp_path, monkeypatch):
+    def refuse(*arguments, **options):
+        raise AssertionError("rows are stored on the way")
+
+    monkeypatch.setattr(scale, "materialise", refuse)
+    monkeypatch.setattr(scale, "RANGE_ROWS", 100)
+    error = ("CASE WHEN id % 50 = 0 THEN NULL WHEN id % 70 = 1 THEN double('NaN') WHEN id % 90 = 2 THEN double('Infinity') "
+             "WHEN id % 4 = 0 THEN 5.0D ELSE id * 37 % 1000 END")
+    rows = spark.range(1500).selectExpr("IF(id % 400 = 7, NULL, concat('k', id)) AS NroPoliza", f"{error} AS `Absolute Percent Error`").repartition(5)
+    path = writers.write_sorted_by_error(rows, str(tmp_path / "sorted"), "parquet")
+    back = spark.read.parquet(path).withColumn("file", F.regexp_extract(F.input_file_name(), r"part-(\d+)", 1).cast("int"))
+    found = back.orderBy(writers.ERROR_RANK).collect()
+    assert [r[writers.ERROR_RANK] for r in found] == list(range(1, 1501))
+    order = [F.col("`Absolute Percent Error`").desc_nulls_last(), F.col("NroPoliza")]
+    assert [r["NroPoliza"] for r in found] == [r["NroPoliza"] for r in rows.orderBy(*order).collect()]
+    assert [r["file"] for r in found] == sorted(r["file"] for r in found) and found[-1]["file"] > found[0]["file"]
+
+
 def plan_of(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
