@@ -237,7 +237,7 @@ copied AS (
 )
 def dedupe_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every column compared, over rows of which half have one copy under another id and some have two."""
-    labelled = rows = materialise(v.labelled(spark, sf_dir))
+    labelled = rows = materialise(v.labelled(spark, sf_dir), codec="zstd")
     for prefix, chosen in (("copy-", "antig % 2 = 0"), ("again-", "antig % 6 = 0")):
         copies = labelled.filter(chosen).withColumn("NroPoliza", F.concat(F.lit(prefix), "NroPoliza"))
         rows = rows.unionByName(copies)

@@ -4,7 +4,7 @@ from pyspark.sql import types as T
 
 from premiumscope.functions.labels import coverage_label, tag_tokens
 from premiumscope.functions.numeric import nan_to_null, to_number
-from premiumscope.operators import encode
+from premiumscope.operators import encode, scale
 from premiumscope.plans.build import encode_portfolio
 
 
@@ -109,6 +109,20 @@ def test_dedupe_compares_whole_rows_only_where_a_fingerprint_repeats(spark, monk
     assert encode.drop_duplicates_keep_first(unique.filter("v >= 1000"), ["id"]).count() == 50
 
 
+def test_wide_rows_with_many_copies_move_once(spark, monkeypatch):
+    monkeypatch.setattr(encode, "WIDE_BYTES", 0)
+    monkeypatch.setattr(encode, "bounded_table", lambda *arguments: None)
+    monkeypatch.setattr(scale, "LOOKUP_MAX_ROWS", 0)
+    df = spark.range(600).selectExpr("concat('p', id) AS id", "IF(id % 7 = 0, NULL, CAST(id % 90 AS DOUBLE)) AS v", "concat('t', id % 4) AS t")
+    kept = encode.drop_duplicates_keep_first(df, ["id"])
+    first = {}
+    for r in sorted(df.collect(), key=lambda r: r["id"]):
+        first.setdefault((r["v"], r["t"]), r["id"])
+    assert {(r["v"], r["t"]): r["id"] for r in kept.collect()} == first and kept.count() == len(first)
+    plan = kept._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and plan.count("Aggregate") == 1
+
+
 def test_rows_with_one_fingerprint_that_differ_are_kept_apart(spark, monkeypatch):
     monkeypatch.setattr(encode, "WIDE_BYTES", 0)
     monkeypatch.setattr(encode.F, "xxhash64", lambda *columns: F.lit(7).cast("long"))
