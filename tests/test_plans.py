@@ -126,6 +126,26 @@ def test_ranked_exports_in_several_files(spark, tmp_path, monkeypatch):
     assert found == expected[:350]
 
 
+def test_training_run_stores_the_scored_table_once(spark, tmp_path, monkeypatch):
+    stored, keep = [], train.materialise
+    monkeypatch.setattr(train, "materialise", lambda df, **options: stored.append(df.columns) or keep(df, **options))
+    rows = spark.range(120).selectExpr(
+        "concat('p', id) AS NroPoliza", "IF(id % 2 = 0, 'R', 'A') AS Pol6TTaCod", "concat('C', id % 3) AS CoberturaLabel",
+        "CAST(id % 7 AS DOUBLE) AS antig", "CAST(id % 5 + 1 AS DOUBLE) AS a", "CAST(id % 11 + 2 AS DOUBLE) AS b", "CAST(id % 5 + id % 11 + 3 AS DOUBLE) AS Prima",
+    )
+    config = {
+        "component_target_columns": ["a", "b"], "drop_columns": ["CoberturaLabel", "Pol6TTaCod"], "search": {"method": "grid"}, "cv": {"n_splits": 2},
+        "models": [{"name": "J", "type": "joint", "param_grid": {"max_epochs": [1]}}],
+    }
+    run = train.train(rows, config, str(tmp_path))
+    assert not [names for names in stored if "Absolute Percent Error" in names]
+    assert len(stored) == 2 and "NroPoliza" not in stored[1]  # the split, and what the test metrics read
+    assert run.scored.count() == 120 and str(tmp_path) in run.scored.inputFiles()[0]
+    export = spark.read.option("header", True).csv(f"{tmp_path}/{run.run_id}/scored_by_error.csv")
+    assert export.count() == 120 and set(run.scored.columns) < set(export.columns)
+    assert train.train(rows, config).scored.count() == 120
+
+
 def test_sorted_export_moves_rows_once_and_stores_none_on_the_way(spark, tmp_path, monkeypatch):
     def refuse(*arguments, **options):
         raise AssertionError("rows are stored on the way")
