@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from premiumscope.operators import models
 from premiumscope.operators import joint, metrics, models, search
 from premiumscope.operators.scaling import fit_scaling
 from premiumscope.operators.split import stratified_folds
@@ -244,3 +245,22 @@ def test_tweedie_refuses_missing_features_and_values_below_zero(spark):
         scorer.score(rows, {"p": "q"}).collect()
     with pytest.raises(Exception, match="allows"):
         models.fit_spark_model(rows.na.drop().withColumn("p", -F.col("p")), ["a"], ["p"], "tweedie")
+
+
+def test_unbagged_forest_learns_from_cells_what_it_learns_from_rows(spark, monkeypatch):
+    rows = spark.range(6000).selectExpr("CAST(id % 13 AS DOUBLE) AS u", "CAST(id * 7 % 11 AS DOUBLE) AS w", "CAST(pmod(hash(id), 50) + id % 13 * (id * 7 % 11) AS DOUBLE) AS a",
+                                        "CAST(pmod(hash(id, 1), 9) + id % 13 AS DOUBLE) AS b")
+    read, fit = [], models._forests
+    monkeypatch.setattr(models, "_forests", lambda prepared, *others: read.append(prepared.count()) or fit(prepared, *others))
+    names = {"a": "pa", "b": "pb"}
+    params = {"n_estimators": 3, "max_depth": 4, "max_features": 0.5}
+
+    def predicted():
+        scored = models.fit_spark_model(rows, ["u", "w"], ["a", "b"], "extra_trees", "none", params).score(rows, names)
+        assert scored.columns == [*rows.columns, "pa", "pb"]
+        return scored, sorted((r["u"], r["w"], r["a"], r["b"], round(r["pa"], 6), round(r["pb"], 6)) for r in scored.collect())
+
+    scored, found = predicted()
+    assert read[0] <= 2 * 13 * 11 and "Join" in scored._jdf.queryExecution().optimizedPlan().toString()
+    monkeypatch.setattr(models, "_cell_table", lambda *arguments: None)
+    assert predicted()[1] == found and read[1] == 6000
