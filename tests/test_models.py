@@ -4,7 +4,6 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from premiumscope.operators import models
 from premiumscope.operators import joint, metrics, models, search
 from premiumscope.operators.scaling import fit_scaling
 from premiumscope.operators.split import stratified_folds
